@@ -25,3 +25,21 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from codemap_spark.llm.license_scan import scan
 
     return scan(table(spark, sf_dir, "documents")).drop("detections")
+
+
+@query
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codemap_spark.llm.scratch import arrow_batches
+    from codemap_spark.llm.secret_scan import scan
+
+    arrow_batches(spark)
+    return scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codemap_spark.llm.html_extract import extract_pages
+    from codemap_spark.llm.scratch import arrow_batches
+
+    arrow_batches(spark)
+    return extract_pages(table(spark, sf_dir, "pages"))
