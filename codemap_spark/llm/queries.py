@@ -43,3 +43,32 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     arrow_batches(spark)
     return extract_pages(table(spark, sf_dir, "pages"))
+
+
+def tokenizer_json(path: str | None = None) -> str:
+    """The tokenizer's JSON; path is where its file lies."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("byte_bpe_50k.json")
+    with open(path, encoding="utf-8") as f:
+        return f.read()
+
+
+@query
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codemap_spark.llm import token_files
+    from codemap_spark.llm.scratch import arrow_batches
+
+    arrow_batches(spark)
+    folder, manifest = token_files.write(spark, table(spark, sf_dir, "documents"), tokenizer_json())
+    return token_files.read(spark, folder, manifest)
+
+
+@query
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codemap_spark.llm.bpe import digests
+    from codemap_spark.llm.scratch import arrow_batches
+
+    arrow_batches(spark)
+    return digests(spark, table(spark, sf_dir, "documents"), tokenizer_json())
