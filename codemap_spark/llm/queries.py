@@ -100,3 +100,28 @@ c AS (SELECT node, min(seen) AS component_id FROM r GROUP BY 1)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
 FROM documents d LEFT JOIN n USING (doc_id) JOIN c ON c.node = d.doc_id
 """
+
+
+@query
+def op10_lattice_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codemap_spark.llm.lattice_dedup import near_duplicates
+    from codemap_spark.llm.scratch import arrow_batches
+
+    arrow_batches(spark)
+    return near_duplicates(spark, table(spark, sf_dir, "embeddings"))
+
+
+# Every pair; right for whole tables as long as they are small.
+ORACLES["op10_lattice_near_dedup"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0
+    AND len(list_filter(embedding, lambda y: y <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id < b.vec_id AND list_cosine_similarity(a.x, b.x) >= 0.9),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+n AS (SELECT a AS vec_id, count(*) AS n FROM e GROUP BY 1),
+r AS (SELECT vec_id AS node, vec_id AS seen FROM embeddings UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.seen),
+c AS (SELECT node, min(seen) AS component_id FROM r GROUP BY 1)
+SELECT t.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, c.component_id, t.vec_id = c.component_id AS kept
+FROM embeddings t LEFT JOIN n USING (vec_id) JOIN c ON c.node = t.vec_id
+"""
