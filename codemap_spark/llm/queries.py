@@ -125,3 +125,25 @@ c AS (SELECT node, min(seen) AS component_id FROM r GROUP BY 1)
 SELECT t.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, c.component_id, t.vec_id = c.component_id AS kept
 FROM embeddings t LEFT JOIN n USING (vec_id) JOIN c ON c.node = t.vec_id
 """
+
+
+@query
+def op6_hilbert_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codemap_spark.llm.hilbert_search import search
+    from codemap_spark.llm.scratch import arrow_batches
+
+    arrow_batches(spark)
+    return search(spark, table(spark, sf_dir, "embeddings"))
+
+
+# Brute force; windows hold the whole table up to one block's rows, so the results are the same there.
+ORACLES["op6_hilbert_search"] = """
+WITH v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0
+    AND len(list_filter(embedding, lambda y: y <> 0)) > 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.x, c.x) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
