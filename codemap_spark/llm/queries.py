@@ -147,3 +147,10 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.x, c.x) AS sco
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
+
+
+@query
+def op5_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codemap_spark.llm.mixing import mix
+
+    return mix(spark, table(spark, sf_dir, "documents"))
