@@ -13,16 +13,28 @@ from array import array
 from collections.abc import Callable
 
 #: Chunks remembered in a worker; then the memory starts afresh. Longer ones are not remembered.
-MEMO, LONGEST = 700_000, 48
+MEMO, LONGEST = 1_300_000, 48
+SIGNS = frozenset(".,;:!?")
 
 
 class _Memo(dict):
     def __init__(self, encode: Callable[[str], list[int]]):
         super().__init__()
         self.encode = encode
+        self.signs: dict[str, bytes] = {}
+
+    def sign(self, c: str) -> bytes:
+        if c not in self.signs:
+            self.signs[c] = array("I", self.encode(c)).tobytes()
+        return self.signs[c]
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = array("I", self.encode(" " + chunk)).tobytes()
+        # A Latin word and the sign after it are pieces of their own, so both are reused.
+        core = chunk[:-1]
+        if chunk[-1:] in SIGNS and core.isalpha() and max(core) < "\u0250":
+            ids = self[core] + self.sign(chunk[-1])
+        else:
+            ids = array("I", self.encode(" " + chunk)).tobytes()
         if len(chunk) <= LONGEST:
             if len(self) >= MEMO:
                 self.clear()
