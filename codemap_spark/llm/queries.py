@@ -154,3 +154,12 @@ def op5_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from codemap_spark.llm.mixing import mix
 
     return mix(spark, table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codemap_spark.llm.scratch import arrow_batches
+    from codemap_spark.llm.toxicity import score
+
+    arrow_batches(spark)
+    return score(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
