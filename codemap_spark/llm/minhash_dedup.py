@@ -9,8 +9,9 @@ two sets agree with the probability of their Jaccard similarity and with
 concentration bounds as for independent hashes.
 
 Equal sets become one class. Bands of the sketch give buckets; a bucket's
-classes are first paired with its smallest and its largest class, verified on
-the full sets and merged to components. Then all classes of a bucket that are
+classes are first paired with its smallest and its largest class (those that
+most of a class's buckets have), verified on the full sets and merged to
+components. Then all classes of a bucket that are
 still in different components meet, in bounded blocks, with an estimate from
 the sketches that leaves what can be a link; those are verified as well. So the
 pairs of a large group of copies are never listed, and no link between groups
@@ -183,6 +184,12 @@ def _meet(members: DataFrame, percent: int) -> DataFrame:
     return df.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, _PAIRS)
 
 
+def _usual(hits: DataFrame, end: str) -> DataFrame:
+    """(id, other): the end that most of a class's buckets share."""
+    n = hits.where(F.col(end) != F.col("id")).groupBy("id", end).agg(F.count("*").alias("n"))
+    return n.groupBy("id").agg(F.max(F.struct("n", end)).alias("m")).select("id", F.col(f"m.{end}").alias("other"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of docs: id, n_shingles, component_id, kept."""
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -195,7 +202,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     banded = reps.select("id", F.posexplode("keys").alias("band", "key"))
     buckets = banded.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
     hits = materialize(spark, banded.join(buckets, "key"), "hits")  # only rows of buckets with several classes
-    stars = hits.select(F.col("low").alias("a"), F.col("id").alias("b")).unionByName(hits.select(F.col("id").alias("a"), F.col("high").alias("b"))).where("a < b").distinct()
+    # Each class meets the smallest and the largest class that most of its buckets have: two pairs a class, however large the buckets.
+    stars = _usual(hits, "low").select(F.col("other").alias("a"), F.col("id").alias("b")).unionByName(_usual(hits, "high").select(F.col("id").alias("a"), F.col("other").alias("b"))).distinct()
     links = _verified(spark, docs, materialize(spark, stars, "stars"), k, percent)
     comps = materialize(spark, connected_components(spark, links), "comps")
     labelled = hits.select("key", "band", "id").join(comps.withColumnRenamed("node", "id"), "id", "left").select("key", "band", "id", F.coalesce("component", "id").alias("comp"))
