@@ -55,7 +55,8 @@ def resolve(files: DataFrame, imports: DataFrame, key: list[str]) -> DataFrame:
     tried = imports.select(*key, F.posexplode("stems").alias("c", "stem"))
     ways = F.array(F.struct(F.lit(0).alias("p"), F.col("stem").alias("k")), F.struct(F.lit(1).alias("p"), F.concat("stem", F.lit("/index")).alias("k")), F.struct(F.lit(2).alias("p"), F.concat("stem", F.lit("/__init__")).alias("k")))
     exact = tried.select(*key, "c", F.explode(ways).alias("w")).select(*key, (F.col("c") * 4 + F.col("w.p")).alias("prio"), F.col("w.k").alias("stem"))
-    exact = exact.join(stem_index(files), "stem").select(*key, "prio", F.col("path").alias("target"))
-    index = suffix_index(files).join(stem_index(files), "stem").select("suffix", "path")
-    loose = tried.join(index, tried.stem == index.suffix).select(*key, (F.col("c") * 4 + 3).alias("prio"), F.col("path").alias("target"))
+    stems = stem_index(files).withColumnRenamed("path", "target")
+    exact = exact.join(stems, "stem").select(*key, "prio", "target")
+    index = suffix_index(files).join(stems, "stem").select(F.col("suffix").alias("stem"), "target")
+    loose = tried.join(index, "stem").select(*key, (F.col("c") * 4 + 3).alias("prio"), "target")
     return exact.unionByName(loose).groupBy(*key).agg(F.min_by("target", "prio").alias("target"))
