@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rounds of a loop whose tables stay apart before they are merged.
+MERGE = 8
 DEPTHS = {"core": -1, "connector": 1, "leaf": 0}
 
 
@@ -27,12 +29,15 @@ def transitive_closure(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """(src, dst) for every path u -> v; semi-naive, stops when a round finds nothing new."""
     edges = _saved(spark, edges.select("u", "v").distinct())
     seen = frontier = edges.select(F.col("u").alias("src"), F.col("v").alias("dst"))
+    rounds = 0
     while True:
         step = frontier.join(edges, frontier.dst == edges.u).select("src", F.col("v").alias("dst")).distinct()
         new = _saved(spark, step.join(seen, ["src", "dst"], "left_anti"))
         if new.isEmpty():
             return seen
-        seen, frontier = _saved(spark, seen.unionByName(new)), new
+        seen, frontier, rounds = seen.unionByName(new), new, rounds + 1
+        if rounds % MERGE == 0:
+            seen = _saved(spark, seen)
 
 
 def blast_radius(spark: SparkSession, edges: DataFrame) -> DataFrame:
@@ -47,13 +52,16 @@ def propagate(spark: SparkSession, edges: DataFrame, nodes: DataFrame, dirty: Da
     seeds = dirty.join(nodes, "id").select(F.col("id").alias("seed"), F.col("id").alias("node"), F.lit(0).alias("depth"), F.coalesce(limit[F.col("criticality")], F.lit(0)).alias("most"))
     edges = _saved(spark, edges)
     seen = frontier = _saved(spark, seeds)
+    rounds = 0
     while True:
         near = frontier.where("most = -1 OR depth < most")
         step = near.join(edges, near.node == edges.v).select("seed", F.col("u").alias("node"), (F.col("depth") + 1).alias("depth"), "most").distinct()
         new = _saved(spark, step.join(seen, ["seed", "node"], "left_anti"))
         if new.isEmpty():
             break
-        seen, frontier = _saved(spark, seen.unionByName(new)), new
+        seen, frontier, rounds = seen.unionByName(new), new, rounds + 1
+        if rounds % MERGE == 0:
+            seen = _saved(spark, seen)
     return seen.select(F.col("node").alias("id")).distinct().join(dirty, "id", "left_anti")
 
 
