@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codemap_spark.functions.paths import sampled
+from codemap_spark.operators.graph import _saved
 
 SEVERITY = {
     "E_STRUCTURAL_DRIFT": "error", "E_BOUNDARY_VIOLATION": "error", "E_CONTRACT_MISSING_EXPORT": "error", "E_UNRESOLVED_REFERENCE": "warning", "E_STALE_INTERFACE": "error",
@@ -77,11 +78,21 @@ def apply_policy(found: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def ranked(found: DataFrame) -> DataFrame:
-    """found with its place in the report: severity, code, subsystem, message."""
+    """found with its place in the report: severity, code, subsystem, message.
+
+    Ranges of that order are counted and each is ranked on its own, from the
+    count of those before it; only the counts meet in one task. The ranges are
+    saved first, as a second sampling could cut them elsewhere.
+    """
     from pyspark.sql import Window
 
     rank = F.when(F.col("severity") == "error", 0).when(F.col("severity") == "warning", 1).otherwise(2)
-    return found.withColumn("rank", F.row_number().over(Window.orderBy(rank, "code", F.coalesce("subsystem", F.lit("")), "message")).cast("long"))
+    order = [rank, F.col("code"), F.coalesce("subsystem", F.lit("")), F.col("message")]
+    parts = _saved(found.sparkSession, found.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = parts.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(before, F.lit(0)).alias("start"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy(*order))
+    return parts.withColumn("place", place).join(F.broadcast(starts), "part").select(*found.columns, (F.col("start") + F.col("place")).cast("long").alias("rank"))
 
 
 def tsv(found: DataFrame) -> DataFrame:

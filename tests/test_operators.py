@@ -79,6 +79,15 @@ def test_policy_first_match_wins(spark):
     assert sorted((r.message, r.severity, r.suppressed) for r in checks.apply_policy(found, rules).collect()) == [("m1", "info", True), ("m2", "warning", False)]
 
 
+def test_report_order_over_ranges(spark):
+    data = [(c, v, None if k % 5 == 0 else str(k % 3), f"m{k:03}", False) for k in range(200) for c, v in (("A", "error"), ("B", "warning"), ("C", "info"))]
+    found = spark.createDataFrame(data, "code string, severity string, subsystem string, message string, suppressed boolean")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so few rows are one range
+    got = [(r.code, r.subsystem, r.message) for r in sorted(checks.ranked(found).collect(), key=lambda r: r["rank"])]
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == [(c, s, m) for c, _, s, m, _ in sorted(data, key=lambda r: (r[0], r[2] or "", r[3]))]
+
+
 def test_state_comparison(spark):
     now = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3")], "path string, content_hash string")
     old = spark.createDataFrame([("a", "1"), ("b", "9"), ("d", "4")], "path string, content_hash string")

@@ -14,6 +14,11 @@ def test_query_without_sql_runs(spark, name):
     QUERIES[name](spark, SF).collect()
 
 
+def test_report_ranks_every_finding(spark):
+    found = QUERIES["policy_apply"](spark, SF).count()
+    assert sorted(r["rank"] for r in QUERIES["report_order_all"](spark, SF).select("rank").collect()) == list(range(1, found + 1))
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
