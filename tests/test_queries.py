@@ -1,6 +1,7 @@
 import pytest
 
 from codemap_spark.plans.queries import ORACLES, QUERIES
+from codemap_spark.sources import tables as S
 from tests.oracle import SF, differences
 
 
@@ -14,6 +15,23 @@ def test_query_without_sql_runs(spark, name):
     QUERIES[name](spark, SF).collect()
 
 
+def test_fold_with_renames_agrees_with_a_sequential_fold(spark):
+    state: dict[int, set] = {}
+    for r in sorted(S.oplog(spark, SF).collect(), key=lambda r: (r.tbl, r.seq)):
+        if r.op == "create_table":
+            state[r.tbl] = set()
+        elif r.op == "drop_table":
+            state.pop(r.tbl, None)
+        elif r.op == "add_column":
+            state.setdefault(r.tbl, set()).add(r.col)
+        elif r.col in state.get(r.tbl, ()):
+            state[r.tbl].remove(r.col)
+            if r.op == "rename_column":
+                state[r.tbl].add("r" + r.col)
+    got = {(r.subsystem, r.tbl): set(r.columns) for r in QUERIES["fold_with_renames"](spark, SF).collect()}
+    assert got == {(str(t % 16), str(t)): c for t, c in state.items()}
+
+
 def test_report_ranks_every_finding(spark):
     found = QUERIES["policy_apply"](spark, SF).count()
     assert sorted(r["rank"] for r in QUERIES["report_order_all"](spark, SF).select("rank").collect()) == list(range(1, found + 1))
