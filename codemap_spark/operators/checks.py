@@ -11,6 +11,7 @@ from codemap_spark.operators.graph import _saved
 SEVERITY = {
     "E_STRUCTURAL_DRIFT": "error", "E_BOUNDARY_VIOLATION": "error", "E_CONTRACT_MISSING_EXPORT": "error", "E_UNRESOLVED_REFERENCE": "warning", "E_STALE_INTERFACE": "error",
     "E_CYCLE_DETECTED": "error", "E_COMPOSITION_ROOT": "warning", "E_ORPHAN_EXPORT": "warning", "E_UNOWNED_FILE": "error", "E_COVERAGE_GAP": "warning",
+    "E_SUBSYSTEM_OVERLAP": "warning", "E_EXTRACTION_FAILED": "warning", "E_SCHEMA_UNPARSED": "warning", "E_SCHEMA_NO_ORDER": "warning", "E_ADAPTER_CONTRACT": "warning", "E_UNSUPPORTED_SURFACE_STALE": "warning",
 }
 
 

@@ -98,6 +98,29 @@ def revision_chain(revisions: list[tuple[str, str | None]]) -> list[str] | None:
     return chain if len(chain) == len(revisions) else None
 
 
+def migration_ranks(migrations: DataFrame) -> DataFrame:
+    """(subsystem, path, rank, no_order): explicit order, else the revision chain, else numbers and names.
+
+    migrations has subsystem, path, explicit, revision, down, sensitive; no_order
+    where several files with order-sensitive operations have names alone.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = [{k: None if pd.isna(v) else v for k, v in r.items()} for r in pdf.to_dict("records")]
+        number = {r["path"]: numeric_prefix(r["path"].rsplit("/", 1)[-1]) for r in rows}
+        rows.sort(key=lambda r: (r["explicit"] is None, r["explicit"] or 0, number[r["path"]] is None, number[r["path"]] or "", r["path"]))
+        explicit, known = any(r["explicit"] is not None for r in rows), {r["revision"] for r in rows}
+        chain = None
+        if len(rows) > 1 and not explicit and None not in known:
+            chain = revision_chain([(r["revision"], r["down"] if r["down"] in known else None) for r in rows])
+        if chain is not None:
+            rows.sort(key=lambda r: chain.index(r["revision"]))
+        no_order = len(rows) > 1 and not explicit and chain is None and not any(number.values()) and any(r["sensitive"] for r in rows)
+        return pd.DataFrame([(r["subsystem"], r["path"], k, no_order) for k, r in enumerate(rows, 1)], columns=["subsystem", "path", "rank", "no_order"])
+
+    return migrations.groupBy("subsystem").applyInPandas(run, "subsystem string, path string, rank long, no_order boolean")
+
+
 def numeric_prefix(name: str) -> str | None:
     m = re.match(r"\d+", name)
     return m[0].zfill(32) if m else None

@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codemap_spark.functions import paths as P
-from codemap_spark.operators import checks, graph, imports, incremental, ownership
+from codemap_spark.operators import checks, fold, graph, imports, incremental, ownership
 from codemap_spark.sources import extract, manifests
 
-QUICK = ("drift", "cross_impact")
+QUICK = ("drift", "cross_impact", "schema", "adapter_contracts", "overlap", "extraction_failed")
+FULL = ("drift", "boundary", "contract", "cross_impact", "cycle", "composition", "orphan", "unowned", "schema", "adapter_contracts", "overlap", "extraction_failed", "coverage_gap", "unsupported_surface")
+SENSITIVE = ("add_column", "drop_column", "drop_table", "rename_table", "rename_column", "drop_policy", "alter_policy", "disable_rls", "no_force_rls")
 ADVISORY = ("audit", "hotfix")
 
 
@@ -26,7 +28,16 @@ class Project:
 
     @cached_property
     def files(self) -> DataFrame:
-        f = extract.source_files(self.spark, str(self.root)).where(~F.col("path").startswith(manifests.FOLDER + "/"))
+        return self._files(extract.LANGUAGES)
+
+    @cached_property
+    def foreign(self) -> DataFrame:
+        """Source files of languages without an extractor, with the owner where one claims them."""
+        f = self._files(extract.FOREIGN).where(~P.is_test_file(F.col("path")))
+        return f.join(ownership.owners(f.select("path"), self.frames["claims"]), "path", "left")
+
+    def _files(self, languages: dict[str, str]) -> DataFrame:
+        f = extract.source_files(self.spark, str(self.root), languages).where(~F.col("path").startswith(manifests.FOLDER + "/"))
         if rules := manifests.ignore_regex(self.root):
             f = f.where(~F.col("path").rlike(rules))
         return f.withColumn("content_hash", F.sha2("content", 256)).drop("content")
@@ -39,6 +50,16 @@ class Project:
     def facts(self) -> DataFrame:
         return extract.extract(self.files).join(self.owners.select("path", F.col("owner").alias("subsystem")), "path", "left")
 
+    @cached_property
+    def migrations(self) -> DataFrame:
+        """(subsystem, path, rank, no_order) of owned SQL and Prisma files in the order of the fold."""
+        meta = self.facts.where("what = 'symbol'").groupBy("path").agg(
+            F.max(F.expr("CASE WHEN op = 'order' THEN try_cast(name AS INT) END")).alias("explicit"), F.max(F.when(F.col("op") == "revision", F.col("name"))).alias("revision"),
+            F.max(F.when(F.col("op") == "down_revision", F.col("name"))).alias("down"), F.max(F.col("op").isin(*SENSITIVE)).alias("sensitive"),
+        )
+        own = self.files.where("language IN ('sql', 'prisma')").select("path").join(self.owners.select("path", F.col("owner").alias("subsystem")), "path")
+        return fold.migration_ranks(own.join(meta, "path", "left").select("subsystem", "path", "explicit", "revision", "down", F.coalesce("sensitive", F.lit(False)).alias("sensitive")))
+
     @cached_property
     def exported(self) -> DataFrame:
         """(subsystem, name, path) of what code exports; tests, framework entries and generated files keep their flag."""
@@ -115,6 +136,58 @@ class Project:
         u = self.files.where(~P.is_test_file(F.col("path")) & ~P.is_config_file(F.col("path"))).join(self.owners, "path", "left_anti")
         return checks.issues(u.withColumn("none", F.lit(None).cast("string")), "E_UNOWNED_FILE", "none", F.col("path"))
 
+    def schema(self) -> DataFrame:
+        m = self.migrations
+        lost = self.facts.where("op = 'unparsed'").join(m.select("path"), "path")
+        found = checks.issues(lost, "E_SCHEMA_UNPARSED", "subsystem", F.concat("name", F.lit(" statements that could not be read in "), "path"))
+        return found.unionByName(checks.issues(m.where("no_order").select("subsystem").distinct(), "E_SCHEMA_NO_ORDER", "subsystem", F.lit("migrations depend on an order that neither numbers, revisions nor headers give")))
+
+    def adapter_contracts(self) -> DataFrame:
+        """What an extractor must not give out: a header that hides a file without readable statements, relations as columns."""
+        s = self.facts.where("what IN ('symbol', 'error')").join(self.files.select("path", F.col("language").alias("lang")), "path")
+        own = s.where("lang = 'sql'").groupBy("path", "subsystem").agg(F.max(F.col("kind") == "schema_meta").alias("meta"), F.max(F.col("kind") == "schema_error").alias("lost"), F.max((F.col("what") == "error") | ~F.col("kind").isin("schema_meta", "schema_error")).alias("other"))
+        one = checks.issues(own.where("meta AND lost AND NOT other"), "E_ADAPTER_CONTRACT", "subsystem", F.concat(F.lit("a header hides that nothing could be read in "), "path"))
+        t = s.where("lang = 'prisma' AND kind = 'table'")
+        t = t.join(t.groupBy("path").agg(F.collect_set("target").alias("models")), "path").withColumn("leaked", F.expr("array_sort(filter(columns, c -> array_contains(models, c) OR c RLIKE '^[A-Z]'))"))
+        return one.unionByName(checks.issues(t.where("size(leaked) > 0"), "E_ADAPTER_CONTRACT", "subsystem", F.concat(F.lit("relations as columns of "), "tbl", F.lit(": "), F.array_join("leaked", ", "))))
+
+    def overlap(self) -> DataFrame:
+        o = ownership.overlaps(self.files.select("path"), self.frames["claims"]).withColumn("first", F.element_at(F.split("contenders", ","), 1))
+        return checks.issues(o, "E_SUBSYSTEM_OVERLAP", "first", F.concat(F.col("n_files").cast("string"), F.lit(" files are claimed alike by "), "contenders"))
+
+    def extraction_failed(self) -> DataFrame:
+        return checks.issues(self.facts.where("what = 'error' AND subsystem IS NOT NULL"), "E_EXTRACTION_FAILED", "subsystem", F.concat("path", F.lit(": "), "error"))
+
+    def coverage_gap(self) -> DataFrame:
+        """One finding while supported files have no owner, or others no claim."""
+        open_ = self.why().where("status = 'unowned'").select("path", F.lit(1).alias("known")).unionByName(self.foreign.where("owner IS NULL").select("path", F.lit(0).alias("known")))
+        n = open_.agg(F.sum("known").alias("known"), F.count("*").alias("n"), P.sampled(F.collect_list("path")).alias("s")).where("n > 0").withColumn("none", F.lit(None).cast("string"))
+        return checks.issues(n, "E_COVERAGE_GAP", "none", F.concat(F.col("known").cast("string"), F.lit(" supported and "), (F.col("n") - F.col("known")).cast("string"), F.lit(" other files in no subsystem: "), "s"))
+
+    def unsupported_surface(self) -> DataFrame:
+        """Subsystems whose files without an extractor changed or went since the surface baseline."""
+        base = manifests.read_keys(self._surface_baseline) or set()
+        saved = self.spark.createDataFrame(sorted(base), "subsystem string, path string, content_hash string")
+        # A file that moved to another owner is gone from its first one.
+        now = self.foreign.where("owner IS NOT NULL").select(F.concat_ws("\t", "owner", "path").alias("path"), "content_hash")
+        stale = incremental.surface_stale(saved.select(F.concat_ws("\t", "subsystem", "path").alias("path"), "content_hash"), now)
+        parts = F.split("path", "\t")
+        hit = stale.select(parts[0].alias("subsystem"), parts[1].alias("path")).groupBy("subsystem").agg(F.count("*").alias("n"), P.sampled(F.collect_list("path")).alias("s"))
+        return checks.issues(hit, "E_UNSUPPORTED_SURFACE_STALE", "subsystem", F.concat(F.col("n").cast("string"), F.lit(" files changed since their exposes were confirmed: "), "s"))
+
+    @property
+    def _surface_baseline(self) -> Path:
+        return self.root / manifests.FOLDER / "baseline" / "surface.json"
+
+    def confirm_surface(self) -> None:
+        """Write the baseline that unsupported_surface compares with."""
+        manifests.write_keys(self._surface_baseline, {tuple(r) for r in self.foreign.where("owner IS NOT NULL").select("owner", "path", "content_hash").collect()})
+
+    def tables(self) -> DataFrame:
+        """(subsystem, tbl, columns) that the migrations fold to."""
+        log = self.facts.where("what = 'symbol' AND op IS NOT NULL").join(self.migrations.select("path", "rank"), "path")
+        return fold.fold_tables(log.select("subsystem", "rank", "ord", "op", "tbl", "col", "columns", F.col("target").alias("to")))
+
     def cross_impact(self, changed: list[str] | None = None) -> DataFrame:
         """Consumers of subsystems with files that differ from the saved state, or that git calls changed."""
         changed = manifests.changed_files(self.root) if changed is None else changed
@@ -126,7 +199,7 @@ class Project:
 
     def validate(self, mode: str = "full") -> DataFrame:
         """Findings with suppressed, in the order of the report."""
-        names = () if mode == "hotfix" else QUICK if mode == "quick" else ("drift", "boundary", "contract", "cross_impact", "cycle", "composition", "orphan", "unowned")
+        names = () if mode == "hotfix" else QUICK if mode == "quick" else FULL
         found = self.frames["issues"]
         for name in names:
             found = found.unionByName(getattr(self, name)())

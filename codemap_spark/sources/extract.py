@@ -9,6 +9,7 @@ from __future__ import annotations
 import ast
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -16,6 +17,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LANGUAGES = {".py": "python", ".sql": "sql", ".prisma": "prisma", ".sh": "shell", ".bash": "shell", ".zsh": "shell", **dict.fromkeys((".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".mts", ".cts"), "typescript")}
+#: Source code without an extractor.
+FOREIGN = {
+    ".go": "go", ".rs": "rust", ".java": "java", ".kt": "kotlin", ".kts": "kotlin", ".rb": "ruby", ".php": "php", ".cs": "c#", ".swift": "swift", ".scala": "scala",
+    **dict.fromkeys((".c", ".h"), "c"), **dict.fromkeys((".cc", ".cpp", ".cxx", ".hpp", ".hh"), "c++"), ".m": "objective-c", ".mm": "objective-c++", ".dart": "dart", ".lua": "lua",
+    ".ex": "elixir", ".exs": "elixir", ".erl": "erlang", ".clj": "clojure", ".hs": "haskell", ".ml": "ocaml", ".r": "r", ".jl": "julia", ".groovy": "groovy", ".vue": "vue", ".svelte": "svelte", ".ps1": "powershell",
+}
 MOST_BYTES = 1_000_000
 IGNORED = ("node_modules", ".git", "dist", "build", "__pycache__", ".venv", "venv", "target", "coverage")
 
@@ -190,16 +197,18 @@ _SQL = [
     ("policy", re.compile(rf"(?i)\b(create|drop|alter)\s+policy\s+(?:if\s+exists\s+)?({_ID})\s+on\s+({_REF})(?:\s+rename\s+to\s+({_ID}))?")),
 ]
 _ALTER = re.compile(rf"(?i)^\s*(?:(add)\s+(?:column\s+)?(?:if\s+not\s+exists\s+)?(?!constraint\b|primary\b|foreign\b|unique\b|check\b)({_ID})|(drop)\s+(?:column\s+)?(?:if\s+exists\s+)?(?!constraint\b)({_ID})|rename\s+to\s+({_ID})|rename\s+(?:column\s+)?({_ID})\s+to\s+({_ID})|((?:no\s+)?force|enable|disable)\s+row\s+level\s+security)")
+_DDL = re.compile(r"(?i)\s*(?:(?:create\s+(?:\w+\s+){0,4}?|alter\s+|drop\s+)(?:table|policy)|create\s+(?:\w+\s+){0,3}?(?:view|index))\b")
 _HEADER = re.compile(r"(?im)^\s*--\s*(revision|down_revision|order)\s*[:=]\s*(\S+)")
 
 
 def sql(text: str) -> list[dict]:
     code = sql_masked(text)
     line = lambda at: text.count("\n", 0, at) + 1
-    found = []
+    found, starts = [], []
     for what, pattern in _SQL:
         for m in pattern.finditer(code):
             at, n = m.start(), line(m.start())
+            starts.append(at)
             if what == "create_table":
                 columns = [re.match(_ID, x.strip())[0].strip('"`[]') for x in _split(_body(code, m.end(2) - 1)) if re.match(rf"\s*{_ID}", x) and not _CONSTRAINT.match(x)] if m[2] else []
                 found.append((0, at, symbol(bare(m[1]), "table", n, True, op=what, tbl=bare(m[1]), columns=sorted(set(columns)))))
@@ -229,9 +238,11 @@ def sql(text: str) -> list[dict]:
     out = [s for _, _, s in sorted(found, key=lambda x: x[:2])]
     head = re.match(r"(?:\s*--[^\n]*\n|\s*\n)*", text)[0]
     out += [symbol(m[2], "schema_meta", 1, False, op=m[1].lower()) for m in _HEADER.finditer(head)]
-    if not out and re.search(r"(?i)\b(?:create|alter|drop)\s+(?:table|policy|view|index)", code):
+    starts.sort()
+    lost = [m for m in re.finditer(r"[^;]+", code) if _DDL.match(m[0]) and ((k := bisect_left(starts, m.start())) == len(starts) or starts[k] >= m.end())]
+    if lost and not found:  # a header alone is no definition
         raise ValueError("definitions that could not be read")
-    return out
+    return out + ([symbol(str(len(lost)), "schema_error", line(lost[0].start()), False, op="unparsed")] if lost else [])
 
 
 # --- Prisma and shell --------------------------------------------------------------------------------
@@ -254,7 +265,7 @@ def prisma(text: str) -> list[dict]:
             elif (f := re.match(r"\s*(\w+)\s+(\w+)(\[\])?\??(.*)", row)) and f[2] not in models:
                 x = re.search(r'@map\("([^"]+)"\)', f[4])
                 columns.append(x[1] if x else f[1])
-        out.append(symbol(name, "table", n, True, op="create_table", tbl=name, columns=sorted(set(columns))))
+        out.append(symbol(name, "table", n, True, op="create_table", tbl=name, columns=sorted(set(columns)), target=m[2]))
     return out
 
 
@@ -297,10 +308,10 @@ def extract(files: DataFrame) -> DataFrame:
     return files.select("path", "language", "text").mapInPandas(run, SCHEMA)
 
 
-def source_files(spark: SparkSession, root: str) -> DataFrame:
-    """Supported files under root: path below it, language, size, text; ignored folders left out."""
-    ext = F.regexp_extract("path", r"(\.[A-Za-z]+)$", 1)
-    lang = F.create_map(*(F.lit(x) for kv in LANGUAGES.items() for x in kv))
+def source_files(spark: SparkSession, root: str, languages: dict[str, str] = LANGUAGES) -> DataFrame:
+    """Files of languages under root: path below it, language, size, text; ignored folders left out."""
+    ext = F.regexp_extract("path", r"(\.[A-Za-z0-9]+)$", 1)
+    lang = F.create_map(*(F.lit(x) for kv in languages.items() for x in kv))
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     rel = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/+", "/"), "^" + re.escape(root.rstrip("/")) + "/", "")
     df = df.select(rel.alias("path"), lang[ext].alias("language"), F.col("length").alias("size"), F.col("content"))

@@ -41,6 +41,39 @@ def test_validate(spark, root):
     assert any(c == "E_SCHEMA_INVALID" and "did you mean service" in m for c, _, _, m, _ in got)
 
 
+def test_every_check_of_the_modes(spark, tmp_path):
+    def put(path, text):
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(text)
+
+    put(".codemap/root.yaml", "project: demo\nsubsystems: [a, b, c]\n")
+    put(".codemap/subsystems/a.yaml", "paths: [db, go]\n")
+    put(".codemap/subsystems/b.yaml", "paths: [both]\n")
+    put(".codemap/subsystems/c.yaml", "paths: [both]\n")
+    put("db/first.sql", "CREATE TABLE t (x int);\nCREATE FOREIGN TABLE 9 (y int);\n")
+    put("db/second.sql", "ALTER TABLE t ADD COLUMN z int;\n")
+    put("db/hidden.sql", "-- revision: 7\nCREATE TABLE 9 (y int);\n")
+    put("db/s.prisma", "model User {\n id Int @id\n kind Role\n Boss Role\n}\n")
+    put("both/x.py", "y = 1\n")
+    put("both/bad.py", "def (\n")
+    put("go/m.go", "package m\n")
+    put("dark/n.rs", "fn f() {}\n")
+    put("stray.py", "x = 1\n")
+    Project(spark, str(tmp_path)).confirm_surface()
+    put("go/m.go", "package n\n")
+    p = Project(spark, str(tmp_path))
+    got = {(r.code, r.subsystem, r.message) for r in p.validate().collect()}
+    assert ("E_SCHEMA_UNPARSED", "a", "1 statements that could not be read in db/first.sql") in got
+    assert ("E_SCHEMA_NO_ORDER", "a") in {g[:2] for g in got}
+    assert ("E_ADAPTER_CONTRACT", "a", "relations as columns of User: Boss") in got
+    assert ("E_SUBSYSTEM_OVERLAP", "b", "2 files are claimed alike by b,c") in got
+    assert {g[1] for g in got if g[0] == "E_EXTRACTION_FAILED"} == {"a", "b"}
+    assert ("E_COVERAGE_GAP", None, "1 supported and 1 other files in no subsystem: dark/n.rs, stray.py") in got
+    assert ("E_UNSUPPORTED_SURFACE_STALE", "a", "1 files changed since their exposes were confirmed: go/m.go") in got
+    assert {"E_SCHEMA_UNPARSED", "E_SCHEMA_NO_ORDER", "E_ADAPTER_CONTRACT"} <= {r.code for r in p.validate("quick").collect()}
+    assert [(r.subsystem, r.tbl, r.columns) for r in p.tables().where("tbl = 't'").collect()] == [("a", "t", ["x", "z"])]
+
+
 def test_commands(spark, root):
     p = Project(spark, str(root))
     assert [(r.name, r.verified) for r in p.describe("models").collect()] == [("Lost", False), ("Thing", True)]
