@@ -139,7 +139,7 @@ mpl-1.0 : mozilla public @license(?: version| v)? 1 0
 mpl-1.1 : mozilla public @license(?: version| v)? 1 1
 mpl-2.0 : mozilla public @license(?: version| v)? 2(?: 0)?
 mpl-2.0 : subject to the terms of the mozilla public @license v 2 0
-mpl-2.0 : mozilla org mpl 2 0|@mpl 2 0
+mpl-2.0 : mozilla org @mpl 2 0|@mpl 2 0
 mpl : mozilla public @license
 epl-1.0 : eclipse public @license(?: version| v)? 1 0
 epl-2.0 : eclipse public @license(?: version| v)? 2(?: 0)?
@@ -267,7 +267,7 @@ sleepycat : sleepycat @license
 qpl-1.0 : q public @license(?: version)?(?: 1 0)?
 rpl-1.5 : reciprocal public @license(?: version)?(?: 1 5)?
 intel : intel open source @license
-nasa-1.3 : nasa open source agreement|nasa open source @license
+nasa-1.3 : @nasa open source agreement|nasa open source @license
 naumen : naumen public @license
 nokia : nokia open source @license
 frameworx : frameworx(?: open)? @license

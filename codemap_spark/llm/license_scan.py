@@ -34,7 +34,9 @@ def rules() -> list[dict]:
     out = []
     for line in RULES_TEXT.strip().splitlines():
         label, _, pattern = line.partition(" : ")
-        for part in (p for p in re.split(r"\|(?![^()]*\))", pattern) if "@" in p):
+        for part in re.split(r"\|(?![^()]*\))", pattern):
+            if "@" not in part:
+                raise ValueError(f"no keyword in {part!r} of {label}")
             key = re.search(r"@(\w+(?:\[cs\]\w*)?)", part)[1]
             spelled = [key.replace("[cs]", "c"), key.replace("[cs]", "s")] if "[cs]" in key else [key, key.replace("license", "licence")]
             for word in dict.fromkeys(spelled):

@@ -40,6 +40,14 @@ def test_license_base_places(spark):
     assert "apache-2.0" in got[8].labels and got[7].labels == "mit"
 
 
+def test_license_every_alternative_is_tried(spark, monkeypatch):
+    got = license_scan.scan(documents(spark, ["under the nasa open source agreement", "see mozilla org mpl 2 0"])).collect()
+    assert [(r.labels, [(d.start, d.stop) for d in r.detections]) for r in sorted(got, key=lambda r: r.doc_id)] == [("nasa-1.3", [(2, 6)]), ("mpl-2.0", [(1, 6)])]
+    monkeypatch.setattr(license_scan, "RULES_TEXT", "x : a @b|c d")
+    with pytest.raises(ValueError, match="c d"):
+        license_scan.rules()
+
+
 def test_license_rules_compile_and_suppress(spark):
     assert len(license_scan.rules()) > 300
     r = license_scan.scan(documents(spark, ["gnu lesser general public license version 2.1"])).first()
