@@ -123,9 +123,13 @@ class Project:
             adj.setdefault(r.u, []).append(r.v)
         found = graph.back_edge_cycles(adj)
         base = manifests.read_keys(self.root / manifests.FOLDER / "baseline" / "cycles.json") or set()
-        out = [("E_CYCLE_DETECTED", "info" if tuple(sorted(c)) in base else "error", c[0], " -> ".join([*c, c[0]])) for c in found[:10]]
-        if cuts := graph.greedy_cuts(found)[:15] if len(found) > 1 else []:
-            out.append(("E_CYCLE_DETECTED", "error", None, f"{len(found)} cycles; cutting breaks them: " + ", ".join(f"{a} -> {b}" for a, b, _ in cuts)))
+        new = [c for c in found if tuple(sorted(c)) not in base]
+        out = [("E_CYCLE_DETECTED", "error", c[0], " -> ".join([*c, c[0]])) for c in new[:10]]
+        if known := len(found) - len(new):
+            out.append(("E_CYCLE_DETECTED", "info", None, f"{known} known cycles accepted by the baseline"))
+        if cuts := graph.greedy_cuts(new) if len(new) > 1 else []:
+            rest, more = f", {len(new) - 10} not listed" if len(new) > 10 else "", f", +{len(cuts) - 15} more" if len(cuts) > 15 else ""
+            out.append(("E_CYCLE_DETECTED", "error", None, f"{len(new)} cycles{rest}; cutting breaks them: " + ", ".join(f"{a} -> {b}" for a, b, _ in cuts[:15]) + more))
         return self.spark.createDataFrame(out, manifests.ISSUES)
 
     def composition(self) -> DataFrame:

@@ -74,6 +74,17 @@ def test_every_check_of_the_modes(spark, tmp_path):
     assert [(r.subsystem, r.tbl, r.columns) for r in p.tables().where("tbl = 't'").collect()] == [("a", "t", ["x", "z"])]
 
 
+def test_accepted_cycles_do_not_hide_new_ones(spark, tmp_path):
+    names = [f"{s}{k:02}" for k in range(12) for s in "ab"]
+    (tmp_path / ".codemap" / "subsystems").mkdir(parents=True)
+    (tmp_path / ".codemap" / "root.yaml").write_text(f"project: demo\nsubsystems: [{', '.join(names)}]\n")
+    for n in names:
+        (tmp_path / ".codemap" / "subsystems" / f"{n}.yaml").write_text(f"paths: [src/{n}]\nconsumes: [{'ba'[n[0] == 'b'] + n[1:]}]\n")
+    manifests.write_keys(tmp_path / ".codemap" / "baseline" / "cycles.json", {(f"a{k:02}", f"b{k:02}") for k in range(11)})
+    got = {(r.severity, r.subsystem, r.message) for r in Project(spark, str(tmp_path)).cycle().collect()}
+    assert got == {("error", "a11", "a11 -> b11 -> a11"), ("info", None, "11 known cycles accepted by the baseline")}
+
+
 def test_commands(spark, root):
     p = Project(spark, str(root))
     assert [(r.name, r.verified) for r in p.describe("models").collect()] == [("Lost", False), ("Thing", True)]
