@@ -127,6 +127,14 @@ def test_toxicity_held_out(spark):
     assert got[600].predicted == got[601].predicted == 0
 
 
+def test_toxicity_drops_verified_copies_only(spark):
+    common = [f"c{k}" for k in range(60)]
+    texts = [" ".join([*common, *(f"{x}{k}" for k in range(60))]) for x in "abcdefgh"]
+    texts += [texts[0] + " end", texts[1]]  # a near and an exact copy
+    rows = spark.createDataFrame([(k, t, True) for k, t in enumerate(texts)], "id long, text string, y boolean")
+    assert {r.id for r in toxicity._once(spark, rows).collect()} == set(range(8))
+
+
 def test_toxicity_without_labels(spark):
     docs = documents(spark, ["a b c", None])
     got = toxicity.score(spark, docs, spark.createDataFrame([], "doc_id long, toxic int")).collect()
