@@ -186,6 +186,14 @@ def test_owner_linkage(spark, sf_dir):
     return ownership.linked(tests, S.claims(spark, sf_dir), S.claims(spark, sf_dir).select("owner").distinct())
 
 
+@query("file owner", """, t AS (SELECT 'tests/' || owner || '/t' || doc_id || '_test.py' AS path, owner AS e FROM file JOIN owner USING (path))
+SELECT path, CASE WHEN e IN (SELECT owner FROM claim) THEN e END AS owner FROM t""")
+def test_owner_linkage_all(spark, sf_dir):
+    f = S.files(spark, sf_dir).select("path", "doc_id").join(owned(spark, sf_dir), "path")
+    tests = f.select(F.concat(F.lit("tests/"), "owner", F.lit("/t"), F.col("doc_id").cast("string"), F.lit("_test.py")).alias("path"))
+    return ownership.linked(tests, S.claims(spark, sf_dir), S.claims(spark, sf_dir).select("owner").distinct())
+
+
 _COVER = """, c AS (SELECT language, path, owner FROM file LEFT JOIN (SELECT path, owner FROM owner WHERE owner NOT LIKE '%\\_en' ESCAPE '\\') o USING (path)),
 g AS (SELECT language, count(*) AS total, count(*) FILTER (language IN ('de','en','fr')) AS supported, count(*) FILTER (language IN ('de','en','fr') AND owner IS NOT NULL) AS mapped, count(*) FILTER (language NOT IN ('de','en','fr') AND owner IS NULL) AS dark FROM c GROUP BY 1)
 """

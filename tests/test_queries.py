@@ -32,6 +32,10 @@ def test_fold_with_renames_agrees_with_a_sequential_fold(spark):
     assert got == {(str(t % 16), str(t)): c for t, c in state.items()}
 
 
+def test_linkage_of_every_owned_document(spark):
+    assert QUERIES["test_owner_linkage_all"](spark, SF).count() == QUERIES["owner_most_specific"](spark, SF).count()
+
+
 def test_report_ranks_every_finding(spark):
     found = QUERIES["policy_apply"](spark, SF).count()
     assert sorted(r["rank"] for r in QUERIES["report_order_all"](spark, SF).select("rank").collect()) == list(range(1, found + 1))
