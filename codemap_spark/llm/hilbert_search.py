@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from codemap_spark.llm.blocks import groups
-from codemap_spark.llm.scratch import materialize
+from codemap_spark.llm.scratch import materialize, trimmed
 
 CURVES, DIMS, BITS, BLOCK, SAMPLE, TARGET, SEED = 4, 5, 12, 4096, 128, 0.96, 77
 
@@ -130,7 +130,7 @@ def brute_force(spark: SparkSession, vectors: DataFrame, queries: list, k: int)
                 for x in nearest(q_ids, q, batch.column(0).to_numpy(), _matrix(batch.column(1)), k):
                     yield _batch(*x)
 
-    return _top(vectors.select("id", "vec").mapInArrow(run, _FOUND), k)
+    return _top(vectors.select("id", "vec").mapInArrow(trimmed(run), _FOUND), k)
 
 
 def usable(spark: SparkSession, table: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -146,7 +146,7 @@ def usable(spark: SparkSession, table: DataFrame, id_col: str, vec_col: str) ->
             m = np.array(batch.column(1).to_pylist(), np.float64).reshape(batch.num_rows, -1)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in m], pa.binary()), pa.array(np.sqrt((m * m).sum(1)))], schema.names)
 
-    return materialize(spark, df.where(F.size("v") == (most["d"] if most else 0)).mapInArrow(run, schema), "vectors")
+    return materialize(spark, df.where(F.size("v") == (most["d"] if most else 0)).mapInArrow(trimmed(run), schema), "vectors")
 
 
 def place(spark: SparkSession, vectors: DataFrame, norm: float, every: int, curves: int, block: int) -> DataFrame:
@@ -174,8 +174,8 @@ def place(spark: SparkSession, vectors: DataFrame, norm: float, every: int, curv
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.full(len(curve), part, np.int32)), pa.array(at)], numbered.names)
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df = vectors.select("id", "vec").mapInArrow(keys, schema).repartitionByRange(parts, "curve", "key", "id").sortWithinPartitions("curve", "key", "id")
-    rows = materialize(spark, df.mapInArrow(number, numbered), "order")
+    df = vectors.select("id", "vec").mapInArrow(trimmed(keys), schema).repartitionByRange(parts, "curve", "key", "id").sortWithinPartitions("curve", "key", "id")
+    rows = materialize(spark, df.mapInArrow(trimmed(number), numbered), "order")
     # One row a curve and partition: how many rows of the curve lie in earlier partitions.
     before = rows.groupBy("curve", "part").agg(F.count("*").alias("n"))
     before = before.select("curve", "part", (F.sum("n").over(Window.partitionBy("curve").orderBy("part")) - F.col("n")).alias("before"))
@@ -223,5 +223,5 @@ def search(spark: SparkSession, table: DataFrame, id_col: str = "vec_id", vec_co
                 for x in nearest(ids[asks], m[asks], ids[~asks], m[~asks], k):
                     yield _batch(*x)
 
-    found = rows.repartition("curve", "blk").sortWithinPartitions("curve", "blk").mapInArrow(meet, _FOUND)
+    found = rows.repartition("curve", "blk").sortWithinPartitions("curve", "blk").mapInArrow(trimmed(meet), _FOUND)
     return _top(found, k).select("query_id", "rank", "vec_id", "score")

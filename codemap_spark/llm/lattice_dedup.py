@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from codemap_spark.llm.blocks import block_pairs, groups
 from codemap_spark.llm.components import connected_components
-from codemap_spark.llm.scratch import materialize
+from codemap_spark.llm.scratch import materialize, trimmed
 
 TABLES, PROBES, WIDTH, SEED = 16, 16, 0.9, 20240607
 #: Of 64 signs of random projections, so many may differ; at cosine 0.9 more do with probability below 1e-4.
@@ -119,7 +119,7 @@ def _hashed(classes: DataFrame) -> DataFrame:
                 own, near = cells(u)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array([x.tobytes() for x in u], pa.binary()), pa.array(_signs(u)), pa.array(list(own), pa.list_(pa.int64())), pa.array(list(near.reshape(len(at), -1)), pa.list_(pa.int64()))], _CELLS.names)
 
-    return classes.select("id", "vec").mapInArrow(run, _CELLS)
+    return classes.select("id", "vec").mapInArrow(trimmed(run), _CELLS)
 
 
 def _emit(a: list, b: list) -> pa.RecordBatch:
@@ -157,7 +157,7 @@ def _within(members: DataFrame, least: float) -> DataFrame:
         yield _emit(a, b)
 
     df = block_pairs(members, "key", "id", BLOCK).select("key", "i", "j", "table", "id", "blk", "vec", "own")
-    return df.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, _LINKS)
+    return df.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(trimmed(run), _LINKS)
 
 
 def _across(pairs: DataFrame, least: float) -> DataFrame:
@@ -169,7 +169,7 @@ def _across(pairs: DataFrame, least: float) -> DataFrame:
             ok = np.array([len(x) == len(y) and float(np.frombuffer(x) @ np.frombuffer(y)) >= least for x, y in zip(u, v, strict=True)], bool)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok)), batch.column(1).filter(pa.array(ok))], _LINKS.names)
 
-    return pairs.select("a", "b", "va", "vb").mapInArrow(run, _LINKS)
+    return pairs.select("a", "b", "va", "vb").mapInArrow(trimmed(run), _LINKS)
 
 
 def valid(vec: F.Column) -> F.Column:

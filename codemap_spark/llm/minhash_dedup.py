@@ -11,17 +11,21 @@ concentration bounds as for independent hashes.
 Equal sets become one class. Bands of the sketch give buckets; a bucket's
 classes are first paired with its smallest and its largest class (those that
 most of a class's buckets have), verified on the full sets and merged to
-components. Then all classes of a bucket that are
-still in different components meet, in bounded blocks, with an estimate from
-the sketches that leaves what can be a link; those are verified as well. So the
-pairs of a large group of copies are never listed, and no link between groups
-is lost to that. What can be missed is only what banding misses: with 32 bands
-of 5 a pair at the threshold 0.8 shares no bucket with probability 3e-6.
+components. In a bucket whose classes are then still in several components,
+those outside its largest component meet all others in bounded blocks. A block
+names the classes whose sketches can be a link; their full sets are verified
+there, and what became linked on the way is not looked at again. No list of
+pairs is ever made, so nothing grows with the square of a group of copies, and
+no link between components is lost. What can be missed is only what banding
+misses: with 32 bands of 5 a pair at the threshold 0.8 shares no bucket with
+probability 3e-6, and an estimate SLACK deviations off (below 1e-8).
 
 Nulls, empty texts and texts without words have an empty set and link with
 nothing; a text of fewer words than a shingle has its whole sequence as its
 one shingle. Rows that repeat an id are one document: linked if any is. A null
-id has a row with a null component, kept if it has no twin with an id.
+id has a row with a null component, kept if it has no twin with an id. Ties
+are no matter: a component is named by its smallest id. Texts of any length are
+taken whole, extra columns are ignored, and an empty table has no rows.
 """
 
 from __future__ import annotations
@@ -35,17 +39,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codemap_spark.llm.blocks import block_pairs, groups
+from codemap_spark.llm.blocks import groups
 from codemap_spark.llm.components import connected_components
-from codemap_spark.llm.scratch import join_ids, materialize
+from codemap_spark.llm.scratch import join_ids, materialize, trimmed
 
 COORDINATES, BANDS = 160, 32
 BLOCK = 256
 #: Standard deviations below the threshold at which an estimate still counts as a candidate.
 SLACK = 6.0
-MEMO = 400_000
+#: Words that a task remembers.
+MEMO = 150_000
 
-_WORDS: dict[bytes, int] = {}
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -60,23 +64,24 @@ def _salt(r: int) -> np.uint64:
     return np.uint64(r * int(_MULT) & 0xFFFFFFFFFFFFFFFF)
 
 
-def shingles(text: str | None, k: int) -> np.ndarray:
+class Words(dict):
+    """word -> hash, remembered up to a bound."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= 40:
+            if len(self) >= MEMO:
+                self.clear()
+            self[word] = h
+        return h
+
+
+def shingles(text: str | None, k: int, memo: Words | None = None) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles; bytes split and fold ASCII only."""
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not words:
         return np.zeros(0, np.uint64)
-    memo = _WORDS
-    ids = []
-    for w in words:
-        h = memo.get(w)
-        if h is None:
-            h = xxhash.xxh3_64_intdigest(w)
-            if len(w) <= 40:
-                if len(memo) >= MEMO:
-                    memo.clear()
-                memo[w] = h
-        ids.append(h)
-    a = np.array(ids, np.uint64)
+    a = np.fromiter(map((Words() if memo is None else memo).__getitem__, words), np.uint64, len(words))
     n = min(k, len(a))
     out = np.full(len(a) - n + 1, np.uint64(n), np.uint64)
     for i in range(n):  # depends on the order of the words
@@ -107,81 +112,162 @@ def band_keys(coordinates: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return key.view(np.int64)
 
 
-_SKETCHED = T.StructType([T.StructField("id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("f1", T.LongType()), T.StructField("f2", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("sig", T.BinaryType())])
-_SETS = T.StructType([T.StructField("id", T.LongType()), T.StructField("items", T.ArrayType(T.LongType()))])
-_PAIRS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+def _long(*names: str) -> list[T.StructField]:
+    return [T.StructField(n, T.LongType()) for n in names]
+
+
+_SKETCHED = T.StructType([*_long("id", "n", "f1", "f2"), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("sig", T.BinaryType())])
+_SETS = T.StructType([*_long("id", "v"), T.StructField("items", T.BinaryType())])
+_PAIRS = T.StructType(_long("a", "b"))
+_MEMBERS = T.StructType([*_long("key", "i", "j", "band", "id", "v", "comp", "n", "blk"), T.StructField("sig", T.BinaryType())])
+
+
+def fingerprint(items: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set as two longs."""
+    x = xxhash.xxh3_128_intdigest(items.tobytes())
+    return (x >> 64) - (1 << 63), (x & (1 << 64) - 1) - (1 << 63)
 
 
 def _sketches(docs: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = Words()
         for batch in batches:
             n, f1, f2, keys, sig = [], [], [], [], []
             for text in batch.column(1).to_pylist():
-                s = shingles(text, k)
+                s = shingles(text, k, memo)
                 n.append(len(s))
                 if not len(s):
                     f1.append(None), f2.append(None), keys.append(None), sig.append(None)
                     continue
-                print_ = xxhash.xxh3_128_intdigest(s.tobytes())
-                f1.append((print_ >> 64) - (1 << 63)), f2.append((print_ & (1 << 64) - 1) - (1 << 63))
+                one, two = fingerprint(s)
+                f1.append(one), f2.append(two)
                 c = sketch(s)
                 keys.append(band_keys(c))
                 sig.append(c.astype(np.uint16).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sig, pa.binary())], _SKETCHED.names)
 
-    return docs.mapInArrow(run, _SKETCHED)
+    return docs.mapInArrow(trimmed(run), _SKETCHED)
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
+    """(id, v, items): the sorted hashes of a set as bytes; v tells the sets of an id that repeats apart."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = Words()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t, k).view(np.int64) for t in batch.column(1).to_pylist()], pa.list_(pa.int64()))], _SETS.names)
+            sets = [shingles(t, k, memo) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(x)[0] for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], _SETS.names)
+
+    return docs.mapInArrow(trimmed(run), _SETS)
+
 
-    return docs.mapInArrow(run, _SETS)
+def linked(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets are similar enough."""
+    if 100 * min(len(s), len(t)) < percent * max(len(s), len(t)):
+        return False
+    at = np.searchsorted(t, s)
+    both = int((t[np.minimum(at, len(t) - 1)] == s).sum())
+    return 100 * both >= percent * (len(s) + len(t) - both)
 
 
-def _verified(spark: SparkSession, docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of ids whose full sets are similar enough."""
-    ids = materialize(spark, pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
-    sets = materialize(spark, _sets(join_ids(docs, ids, "id", "left_semi"), k), "sets")
-    left, right = sets.toDF("a", "s"), sets.toDF("b", "t")
-    both = F.size(F.array_intersect("s", "t"))
-    found = pairs.join(left, "a").join(right, "b").select("a", "b", both.alias("i"), (F.size("s") + F.size("t") - both).alias("u"))
-    return materialize(spark, found.where(F.col("i") * 100 >= F.col("u") * percent).select("a", "b").distinct(), "links")
+def _items(column: pa.Array, row: int) -> np.ndarray:
+    return np.frombuffer(column[row].as_buffer(), np.uint64)
 
 
-def _meet(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes of a bucket in different components that can be links; each in the first bucket they share."""
-    t = COORDINATES
-    p = percent / 100
-    least = t * p - SLACK * (t * p * (1 - p)) ** 0.5
+def _stars(spark: SparkSession, hits: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of each class b with the ends of its buckets; a hub's set goes to each block of its classes, not to each pair."""
+    ends = [_usual(hits, end).select(F.col("other").alias("hub"), F.col("id").alias("b")) for end in ("low", "high")]
+    pairs = materialize(spark, ends[0].unionByName(ends[1]).distinct(), "stars")
+    blocks = pairs.groupBy("hub").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("nb"))
+    members = pairs.join(blocks, "hub").select("hub", F.pmod(F.xxhash64("b", F.lit(7)), F.col("nb")).alias("blk"), F.col("b").alias("id"), F.lit(1).cast("long").alias("leaf"))
+    hubs = blocks.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)).alias("blk"), F.col("hub").alias("id"), F.lit(0).cast("long").alias("leaf"))
+    rows = members.unionByName(hubs).join(sets, "id").select("hub", "blk", "leaf", "id", "items")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = [], []
+        block, own = None, []
+        for batch in batches:  # sorted: a block's hub, all its sets, comes before its classes
+            a, b = [], []
+            heads, leaf, ids = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)), batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            for k in range(batch.num_rows):
+                if not leaf[k]:
+                    block, own = heads[k], [*(own if block == heads[k] else ()), _items(batch.column(4), k).copy()]
+                elif any(linked(x, _items(batch.column(4), k), percent) for x in own):
+                    a.append(heads[k][0]), b.append(ids[k])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], _PAIRS.names)
+
+    dealt = rows.repartition("hub", "blk").sortWithinPartitions("hub", "blk", "leaf")
+    return materialize(spark, dealt.mapInArrow(trimmed(run), _PAIRS), "links")
+
+
+def _possible(x: int, others: np.ndarray, ids: np.ndarray, comp: np.ndarray, n: np.ndarray, sig: np.ndarray, band: int, percent: int) -> np.ndarray:
+    """Those of others that can be a link of row x in another component and share no earlier band; likeliest first."""
+    rest = others[(comp[others] != comp[x]) & (100 * np.minimum(n[others], n[x]) >= percent * np.maximum(n[others], n[x]))]
+    if not len(rest):
+        return rest
+    t, p = sig.shape[1], percent / 100
+    same = sig[rest] == sig[x]
+    sum_ = same.sum(1)
+    ok = sum_ >= t * p - SLACK * (t * p * (1 - p)) ** 0.5
+    if band:
+        ok &= ~same[:, : band * (t // BANDS)].reshape(len(rest), band, -1).all(2).any(1)
+    return rest[ok][np.argsort(-sum_[ok], kind="stable")]
+
+
+def _facing(i: int, j: int, blk: np.ndarray, ids: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each row of block i with the rows that it meets: those of block j, or the larger ids of its own block."""
+    left, right = np.flatnonzero(blk == i), np.flatnonzero(blk == j)
+    for x in left:
+        yield x, right if i != j else left[ids[left] > ids[x]]
+
+
+def _group(g: pa.Table) -> tuple:
+    i, j, band = (g.column(c)[0].as_py() for c in (1, 2, 3))
+    ids, comp, n, blk = (g.column(c).to_numpy() for c in (4, 6, 7, 8))
+    return i, j, band, ids, comp, n, blk, np.frombuffer(b"".join(g.column(9).to_pylist()), np.uint16).reshape(len(ids), -1)
+
+
+def _blocks(labelled: DataFrame, reps: DataFrame) -> DataFrame:
+    """Rows of _MEMBERS: in buckets of several components, blocks of classes outside the largest one meet all blocks."""
+    per = labelled.groupBy("key", "comp").agg(F.count("*").alias("c"))
+    sizes = per.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("most"), F.max("c").alias("in"), F.sum("c").alias("all")).where("in < all")
+    sizes = sizes.select("key", "most", F.ceil((F.col("all") - F.col("in")) / F.lit(BLOCK)).alias("few"), F.ceil(F.col("in") / F.lit(BLOCK)).alias("many"))
+    df = labelled.join(sizes, "key").join(reps.select("id", "v", "n", "sig"), ["id", "v"])
+    h, inside = F.xxhash64("id", F.lit(7)), F.col("comp") == F.col("most")
+    df = df.withColumn("blk", F.when(inside, F.col("few") + F.pmod(h, F.col("many"))).otherwise(F.pmod(h, F.col("few"))))
+    last = F.when(inside, F.col("few") - 1).otherwise(F.col("few") + F.col("many") - 1)
+    df = df.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    return df.select("key", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), F.col("band").cast("long").alias("band"), "id", "v", "comp", "n", "blk", "sig")
+
+
+def _meet(spark: SparkSession, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links that join components, of classes that meet in blocks; each pair in the first bucket that it shares."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in groups(batches, 3):
-            i, j = g.column(1)[0].as_py(), g.column(2)[0].as_py()
-            band = g.column(3)[0].as_py()
-            ids, comp, n, blk = (g.column(c).to_numpy() for c in (4, 5, 6, 7))
-            sig = np.frombuffer(b"".join(g.column(8).to_pylist()), np.uint16).reshape(len(ids), t)
-            for x in range(len(ids)):
-                rest = np.flatnonzero((comp != comp[x]) & (ids > ids[x]) & ((blk != blk[x]) if i != j else True) & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x])))
-                if not len(rest):
-                    continue
-                same = sig[rest] == sig[x]
-                ok = same.sum(1) >= least
-                if band:
-                    ok &= ~same[:, : band * (t // BANDS)].reshape(len(rest), band, -1).all(2).any(1)
-                rest = rest[ok]
-                a += [ids[x]] * len(rest)
-                b += ids[rest].tolist()
-            if len(a) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], _PAIRS.names)
-                a, b = [], []
-        if a:
+            i, j, band, ids, comp, n, blk, sig = _group(g)
+            need = np.zeros(len(ids), bool)
+            for x, others in _facing(i, j, blk, ids):
+                if len(rest := _possible(x, others, ids, comp, n, sig, band, percent)):
+                    need[x], need[rest] = True, True
+            if need.any():
+                yield from g.filter(pa.array(need)).combine_chunks().to_batches()
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in groups(batches, 3):
+            i, j, band, ids, comp, n, blk, sig = _group(g)
+            comp, items, a, b = comp.copy(), g.column(10).combine_chunks(), [], []
+            for x, others in _facing(i, j, blk, ids):
+                own = _items(items, x)
+                for y in _possible(x, others, ids, comp, n, sig, band, percent):
+                    if comp[x] != comp[y] and linked(own, _items(items, y), percent):
+                        a.append(ids[x]), b.append(ids[y])
+                        comp[comp == comp[y]] = comp[x]
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], _PAIRS.names)
 
-    df = block_pairs(members, "key", "id", BLOCK).select("key", "i", "j", "band", "id", "comp", "n", "blk", "sig")
-    return df.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, _PAIRS)
+    key = ["key", "i", "j"]
+    need = materialize(spark, members.repartition(*key).sortWithinPartitions(*key).mapInArrow(trimmed(find), _MEMBERS), "near")
+    full = need.join(sets, ["id", "v"]).select(*_MEMBERS.names, "items")
+    return materialize(spark, full.repartition(*key).sortWithinPartitions(*key).mapInArrow(trimmed(verify), _PAIRS), "links")
 
 
 def _usual(hits: DataFrame, end: str) -> DataFrame:
@@ -198,22 +284,22 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     classes = rows.where("f1 IS NOT NULL AND id IS NOT NULL").groupBy("f1", "f2").agg(F.min("id").alias("class"))
     classes = materialize(spark, classes, "classes")
     reps = rows.where("f1 IS NOT NULL").join(classes.withColumnRenamed("class", "id"), ["id", "f1", "f2"]).dropDuplicates(["id", "f1", "f2"])
-    reps = materialize(spark, reps.select("id", "n", "keys", "sig"), "reps")
-    banded = reps.select("id", F.posexplode("keys").alias("band", "key"))
+    reps = materialize(spark, reps.select("id", F.col("f1").alias("v"), "n", "keys", "sig"), "reps")
+    banded = reps.select("id", "v", F.posexplode("keys").alias("band", "key"))
     buckets = banded.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
     hits = materialize(spark, banded.join(buckets, "key"), "hits")  # only rows of buckets with several classes
-    # Each class meets the smallest and the largest class that most of its buckets have: two pairs a class, however large the buckets.
-    stars = _usual(hits, "low").select(F.col("other").alias("a"), F.col("id").alias("b")).unionByName(_usual(hits, "high").select(F.col("id").alias("a"), F.col("other").alias("b"))).distinct()
-    links = _verified(spark, docs, materialize(spark, stars, "stars"), k, percent)
+    sets = materialize(spark, _sets(join_ids(docs, materialize(spark, hits.select("id").distinct(), "ids"), "id", "left_semi"), k).dropDuplicates(["id", "v"]), "sets")
+    # Classes that a repeated id has rows in are one document's.
+    twice = rows.where("f1 IS NOT NULL AND id IS NOT NULL").groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select("id")
+    own = join_ids(rows.where("f1 IS NOT NULL"), materialize(spark, twice, "twice"), "id", "left_semi").join(classes, ["f1", "f2"]).select("id", "class").distinct()
+    same = own.join(own.groupBy("id").agg(F.min("class").alias("a")), "id").where("a <> class").select("a", F.col("class").alias("b"))
+    links = _stars(spark, hits, sets, percent).unionByName(materialize(spark, same, "same"))
     comps = materialize(spark, connected_components(spark, links), "comps")
-    labelled = hits.select("key", "band", "id").join(comps.withColumnRenamed("node", "id"), "id", "left").select("key", "band", "id", F.coalesce("component", "id").alias("comp"))
+    labelled = hits.join(comps.withColumnRenamed("node", "id"), "id", "left").select("key", "band", "id", "v", F.coalesce("component", "id").alias("comp"))
     labelled = materialize(spark, labelled, "labelled")
-    mixed = labelled.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
-    members = labelled.join(mixed, "key").join(reps.select("id", "n", "sig").dropDuplicates(["id"]), "id")
-    more = materialize(spark, _meet(members, percent).distinct(), "pairs")
+    more = _meet(spark, _blocks(labelled, reps), sets, percent)
     if not more.isEmpty():
-        links = links.unionByName(_verified(spark, docs, more, k, percent))
-        comps = materialize(spark, connected_components(spark, links), "comps")
+        comps = materialize(spark, connected_components(spark, links.unionByName(more)), "comps")
     of = classes.join(comps.withColumnRenamed("node", "class"), "class", "left").select("f1", "f2", F.coalesce("component", "class").alias("component_id"))
     out = rows.select("id", "n", "f1", "f2").join(of, ["f1", "f2"], "left")
     # Rows that repeat an id with other texts count as one document.

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Ids that a checked broadcast may hold (8 bytes each in the source column).
@@ -13,9 +17,11 @@ BROADCAST_ROWS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a local one only where none is set."""
+    """The folder of spark.checkpoint.dir; a local one only where none is set and Spark runs in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="llm-shared-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -50,8 +56,43 @@ def join_ids(df: DataFrame, ids: DataFrame, on: str, how: str) -> DataFrame:
     return df.join(ids, on, how)
 
 
-def arrow_batches(spark: SparkSession, rows: int = 1000) -> None:
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while f"__{name}" in taken:
+        name += "_"
+    return f"__{name}"
+
+
+def numbered(spark: SparkSession, df: DataFrame, key: str, name: str) -> DataFrame:
+    """df with each row's place by key, from 0: ranges are ranked on their own, only their counts meet."""
+    part = fresh(df, "part")
+    df = materialize(spark, df.repartitionByRange(key).withColumn(part, F.spark_partition_id()), "ranges")
+    # One row a partition, as few as the ranges that the shuffle made.
+    starts = df.groupBy(part).agg(F.count("*").alias("n")).select(part, (F.sum("n").over(Window.orderBy(part)) - F.col("n")).alias("n"))
+    place = F.row_number().over(Window.partitionBy(part).orderBy(key)) - 1
+    return df.withColumn(name, place).join(F.broadcast(starts), part).withColumn(name, F.col(name) + F.col("n")).drop(part, "n")
+
+
+def arrow_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> None:
     """Keep Arrow batches small enough for very long texts."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > rows:
         spark.conf.set(key, str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
+Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def trimmed(run: Batches) -> Batches:
+    """run, after which a worker gives back what it freed; reused workers would keep it beside the next stage's."""
+
+    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return out

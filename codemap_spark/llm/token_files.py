@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from codemap_spark.llm.chunked import ChunkedEncoder
-from codemap_spark.llm.scratch import materialize, new_path
+from codemap_spark.llm.scratch import materialize, new_path, trimmed
 
 #: Ids a sequence, sequences a batch, batches a file.
 SEQUENCE, BATCH_ROWS, FILE_BATCHES = 2048, 128, 256
@@ -151,7 +151,7 @@ def write(spark: SparkSession, docs: DataFrame, model: str, id_col: str = "doc_i
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     df = docs.select(F.col(id_col), F.col(text_col).alias("text")).repartitionByRange(parts, F.col(id_col)).sortWithinPartitions(id_col, "text")
-    return folder, materialize(spark, df.mapInArrow(run, schema), "manifest")
+    return folder, materialize(spark, df.mapInArrow(trimmed(run), schema), "manifest")
 
 
 def read(spark: SparkSession, folder: str, manifest: DataFrame, id_col: str = "doc_id", sequence: int = SEQUENCE, rows: int = BATCH_ROWS) -> DataFrame:
@@ -172,4 +172,4 @@ def read(spark: SparkSession, folder: str, manifest: DataFrame, id_col: str = "d
                 crc.append(zlib.crc32(reader.ids(at, n).astype("<u4").tobytes()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(4), batch.column(3), pa.array(crc, pa.int64())], schema.names)
 
-    return placed.mapInArrow(run, schema)
+    return placed.mapInArrow(trimmed(run), schema)
