@@ -4,10 +4,12 @@ A word is an array of token ids beside an array of the ranks of neighbouring
 pairs. The smallest rank is searched by scanning, its boundary is deleted and
 the two ranks next to it are looked up again. Words beyond LONG bytes, where
 scanning again and again would be quadratic, take a heap of ranks over linked
-neighbours instead; both give the same ids.
+neighbours instead; both give the same ids, so the bound is one of speed alone.
 
-Nulls and empty texts have no ids. Whole texts are encoded; repeated rows are
-each encoded, extra columns are ignored.
+Nulls and empty texts have no ids and decode to ''. Texts of any length are
+encoded whole; null ids and repeated rows are each a row, an empty table has
+none, and extra columns are ignored, whatever their names. Equal ranks go to
+the leftmost pair.
 """
 
 from __future__ import annotations
@@ -25,12 +27,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from codemap_spark.llm.chunked import ChunkedEncoder
+from codemap_spark.llm.scratch import trimmed
 
 PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 LONG = 400
 NONE = 1 << 62
-#: Pieces remembered in a worker.
-PIECES = 300_000
+#: Pieces and chunks remembered in a worker.
+PIECES, CHUNKS = 200_000, 500_000
 
 
 def _byte_symbols() -> list[str]:
@@ -66,7 +69,7 @@ class Bpe:
         self.names = [str(k) for k in range(size)]
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.pieces: dict[str, list[int]] = {}
-        self.encoder = ChunkedEncoder(self.plain, self.encode, list(self.special))
+        self.encoder = ChunkedEncoder(self.plain, self.encode, list(self.special), CHUNKS)
 
     def word(self, piece: bytes) -> list[int]:
         ids, get = [self.start[b] for b in piece], self.pairs.get
@@ -162,7 +165,7 @@ def digests(spark: SparkSession, docs: DataFrame, model: str, id_col: str = "doc
                 back.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(back, pa.string())], schema.names)
 
-    return docs.select(F.col(id_col), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col), F.col(text_col).alias("text")).mapInArrow(trimmed(run), schema)
 
 
 def encode(spark: SparkSession, docs: DataFrame, model: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:

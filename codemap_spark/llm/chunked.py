@@ -2,25 +2,28 @@
 
 A byte-level pre-tokenizer with the usual pattern lets only a word's own single
 space into its piece, so a text falls apart at single spaces: the encoding of
-``a b`` is that of ``a`` followed by that of `` b``. That holds unless spaces
-stand together, a space ends the text, or a special token occurs in it; such
-texts are encoded as a whole.
+``a b`` is that of ``a`` followed by that of `` b``. That holds unless a space
+touches other white space, which can share its piece, a space ends the text, or
+a special token occurs in it; such texts are encoded as a whole.
 """
 
 from __future__ import annotations
 
+import re
 from array import array
 from collections.abc import Callable
 
 #: Chunks remembered in a worker; then the memory starts afresh. Longer ones are not remembered.
 MEMO, LONGEST = 1_300_000, 48
+#: A space with white space on either side.
+TOUCHING = re.compile(r"\s | \s")
 SIGNS = frozenset(".,;:!?")
 
 
 class _Memo(dict):
-    def __init__(self, encode: Callable[[str], list[int]]):
+    def __init__(self, encode: Callable[[str], list[int]], most: int):
         super().__init__()
-        self.encode = encode
+        self.encode, self.most = encode, most
         self.signs: dict[str, bytes] = {}
 
     def sign(self, c: str) -> bytes:
@@ -36,7 +39,7 @@ class _Memo(dict):
         else:
             ids = array("I", self.encode(" " + chunk)).tobytes()
         if len(chunk) <= LONGEST:
-            if len(self) >= MEMO:
+            if len(self) >= self.most:
                 self.clear()
             self[chunk] = ids
         return ids
@@ -45,15 +48,15 @@ class _Memo(dict):
 class ChunkedEncoder:
     """encode: exact ids of any text without special tokens; whole: of any text."""
 
-    def __init__(self, encode: Callable[[str], list[int]], whole: Callable[[str], list[int]], specials: list[str]):
+    def __init__(self, encode: Callable[[str], list[int]], whole: Callable[[str], list[int]], specials: list[str], memo: int | None = None):
         self.encode, self.whole, self.specials = encode, whole, specials
-        self.memo = _Memo(encode)
+        self.memo = _Memo(encode, MEMO if memo is None else memo)
 
     def ids(self, text: str) -> bytes:
         """The ids as native unsigned 32-bit integers."""
         if not text:
             return b""
-        if "  " in text or text[-1] == " " or any(s in text for s in self.specials):
+        if text[-1] == " " or TOUCHING.search(text) or any(s in text for s in self.specials):
             return array("I", self.whole(text)).tobytes()
         first, _, rest = text.partition(" ")
         head = array("I", self.encode(first)).tobytes() if first else b""
