@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from codemap_spark.llm import bpe, chunked, components, hilbert_search, html_extract, lattice_dedup, license_scan, minhash_dedup, mixing, secret_scan, token_files, toxicity
 from codemap_spark.llm.queries import ORACLES, QUERIES, tokenizer_json
 from tests.oracle import SF, differences
@@ -25,7 +26,7 @@ def test_query_agrees_with_sql(spark, name):
     assert differences(spark, QUERIES[name], ORACLES[name]) == ([], [])
 
 
-# --- licences ------------------------------------------------------------------------------------
+# licences
 
 
 def test_license_base_places(spark):
@@ -54,7 +55,7 @@ def test_license_rules_compile_and_suppress(spark):
     assert [d.label for d in r.detections] == ["lgpl-2.1"]  # the shorter gpl and lgpl names lie inside
 
 
-# --- secrets -----------------------------------------------------------------------------------------
+# secrets
 
 
 def test_secret_base_spans():
@@ -77,7 +78,7 @@ def test_secret_scan_of_edge_rows(spark):
     assert [r.base_sha256 == empty for r in sorted(rows)] == [True, True, True, True, False] and sorted(rows)[4].spans == "assign:0:17"
 
 
-# --- html ---------------------------------------------------------------------------------------------
+# html
 
 
 def test_html_main_text():
@@ -99,7 +100,7 @@ def test_html_pages_of_the_table(spark):
         assert html_extract.extract(r.html) == "\n\n".join(x for x in (" ".join(html.unescape(b).split()) for b in blocks) if x)
 
 
-# --- toxicity --------------------------------------------------------------------------------------------
+# toxicity
 
 
 def toxic_corpus(spark):
@@ -141,7 +142,7 @@ def test_toxicity_without_labels(spark):
     assert [r.score for r in got] == [0.5, 0.5]
 
 
-# --- mixing ---------------------------------------------------------------------------------------------------
+# mixing
 
 
 def test_mixing_targets_and_rates(spark):
@@ -172,7 +173,7 @@ def test_mixing_targets_and_rates(spark):
     assert mixing.mixed(spark, docs).count() == sum(r.copies for r in rows)
 
 
-# --- search ------------------------------------------------------------------------------------------------------
+# search
 
 
 def test_hilbert_curve_steps():
@@ -204,7 +205,7 @@ def test_search_of_nothing(spark):
     assert hilbert_search.search(spark, spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
 
 
-# --- tokens --------------------------------------------------------------------------------------------------------
+# tokens
 
 ODD = ["", "a", "  a", " a", "a ", "a\n b", "a \n b", "a  \nb", "\n\n a\t b", "it's <|endoftext|> x", "<|endoftext|>", "x" * 3000, "ab" * 900 + " q", "日本語 テキスト 😀 ok", " \n ", "a  b", "don't 12 3a  ", "é, x.", "word. ½. Über!", "abc\n", "a\r\n b", "ſo K, 's 't"]
 
@@ -253,7 +254,7 @@ def test_bpe_digests_and_columns(spark, library):
     assert {r.doc_id: r.text for r in back.collect()} == {k: t or "" for k, t in enumerate(texts)}
 
 
-# --- near duplicates ----------------------------------------------------------------------------------------------------
+# near duplicates
 
 
 def brute_components(n, linked):
@@ -338,7 +339,7 @@ def test_lattice_against_all_pairs(spark):
     assert all(got[k].n_links == 0 and got[k].component_id == k and got[k].kept for k in range(900, 904))
 
 
-# --- pipeline --------------------------------------------------------------------------------------------------------------
+# pipeline
 
 
 def test_pipeline_stages(spark, tmp_path, library):
@@ -361,3 +362,137 @@ def test_pipeline_stages(spark, tmp_path, library):
             rows = out.collect()
             assert len(rows) == docs.count()
             assert all(r.n_tokens == len(library.encode(texts[r.doc_id], add_special_tokens=False).ids) for r in rows[:50])
+
+
+# cases found in review
+
+
+def test_license_ranks_beat_only_what_they_touch(spark):
+    found = [(0, 4, 5, "a"), (3, 7, 3, "b"), (6, 9, 1, "c")]  # a lost to b, but b lost to c
+    df = spark.createDataFrame([(found,)], "found array<struct<start: int, stop: int, rank: int, label: string>>")
+    df = df.select(license_scan.outermost("found").alias("outer"))
+    assert [d.label for d in df.select(license_scan.resolve("outer").alias("k")).first().k] == ["a", "c"]
+
+
+def test_license_greedy_against_brute_force(spark):
+    rng = np.random.default_rng(8)
+    cases = []
+    for _ in range(60):
+        ranks = rng.permutation(12)
+        cases.append([(int(a), int(a + n), int(r), f"l{r}") for a, n, r in zip(rng.integers(0, 25, 12), rng.integers(1, 7, 12), ranks, strict=True)])
+    df = spark.createDataFrame([(k, c) for k, c in enumerate(cases)], "k int, found array<struct<start: int, stop: int, rank: int, label: string>>")
+    got = df.withColumn("outer", license_scan.outermost("found")).select("k", license_scan.resolve("outer").alias("kept")).collect()
+    for r in got:
+        c = cases[r.k]
+        outer = [x for x in c if not any(y is not x and y[0] <= x[0] and x[1] <= y[1] and ((y[0], y[1]) != (x[0], x[1]) or y[2] < x[2]) for y in c)]
+        kept = []
+        for x in sorted(outer, key=lambda x: (x[2], x[0])):
+            if not any(x[0] < y[1] and y[0] < x[1] for y in kept):
+                kept.append(x)
+        assert [tuple(d) for d in r.kept] == sorted(kept)
+
+
+def sample(parsed, all_):
+    """A string that a parsed regex matches: with or without what is optional."""
+    out = ""
+    for op, arg in parsed:
+        op = str(op)
+        if op == "LITERAL":
+            out += chr(arg)
+        elif op == "ANY":
+            out += "x"
+        elif op == "MAX_REPEAT":
+            out += sample(arg[2], all_) * (max(1, arg[0]) if all_ else arg[0])
+        elif op == "SUBPATTERN":
+            out += sample(arg[-1], all_)
+        elif op == "BRANCH":
+            out += sample(arg[1][-1 if all_ else 0], all_)
+        else:
+            out += {"IN": "1"}[op]
+    return out
+
+
+def test_license_gates_lose_no_rule(spark):
+    rules, texts = license_scan.rules(), []
+    for all_ in (False, True):
+        for r in rules:
+            left, right = r["rx"].removeprefix("(?<![^ ])").removesuffix("(?![^ ])").split(license_scan.MARK + r["key"])
+            texts.append(sample(re._parser.parse(f"{left}{r['key']}{right}"), all_) if left.count("(?:") == left.count(")") else None)
+    df = documents(spark, texts).select("doc_id", F.split("text", " ").alias("words")).where("words IS NOT NULL")
+    got = {r.doc_id: {x["rank"] for x in r.found} for r in df.select("doc_id", license_scan.detect(df).alias("found")).collect()}
+    got = {k: v for k, v in got.items() if rules[k % len(rules)]["key"] in texts[k].split(" ")}  # the keyword stands as a word
+    assert len(got) > 900 and all(k % len(rules) in found for k, found in got.items())
+
+
+def test_license_many_keywords_and_edges(spark):
+    docs = documents(spark, ["license " * 100_000, "mit license " * 16_000, "apache license version 2 0 " * 3000, None, ""])
+    got = {r.doc_id: r for r in license_scan.scan(docs.withColumn("words", F.lit(1)).withColumn("found", F.lit(2))).collect()}
+    assert got[0].n_words == 100_000 and got[0].labels == "" and got[1].labels == "mit" and got[2].n_base == 3000 and got[4].score == 0
+    assert license_scan.scan(documents(spark, [])).collect() == []
+
+
+WHITE = [" ", " ", " ", "\xa0", "\n", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1f", "\x85", " ", " ", "　", "​", "﻿"]
+FUZZ = [*WHITE, "a", "b", "Zé", "é", "ß", "1", "²", "½", ".", ",", "!", "'s", "'", "don't", "日", "😀", "<|endoftext|>", "́", "_", "\x00"]
+
+
+def test_encoders_agree_with_the_library_on_fuzz(library):
+    b, t, rng = bpe.Bpe(tokenizer_json()), token_files.library_encoder(tokenizer_json()), np.random.default_rng(4)
+    texts = [" \xa0 \xa0\xa0", "\xa0 \xa0", "a \n b", *("".join(rng.choice(FUZZ, rng.integers(1, 14))) for _ in range(6000))]
+    for x in texts:
+        ids = library.encode(x, add_special_tokens=False).ids
+        assert b.ids(x) == ids and np.frombuffer(t.ids(x), np.uint32).tolist() == ids, repr(x)
+
+
+def test_words_and_signs_are_reused_exactly(library):
+    b, rng = bpe.Bpe(tokenizer_json()), np.random.default_rng(6)
+    words, ends = ["word", "Über", "naïve", "it", "don", "日本", "x1", "ſ", "ǅ"], ["", ".", ",", ";", "!", "?", ":", "..", "'s", ".)", "’s"]
+    for _ in range(300):
+        x = " ".join(rng.choice(words) + rng.choice(ends) for _ in range(12))
+        assert b.ids(x) == library.encode(x, add_special_tokens=False).ids
+
+
+def test_mixed_counts_rows_not_ids(spark):
+    rng = np.random.default_rng(11)
+    for ids in ([None] * 200, [k // 100 for k in range(200)], list(range(200))):
+        texts = [" ".join(["w"] * int(n)) for n in rng.integers(1, 200, 200)]
+        docs = documents(spark, texts, ["ab"[k % 5 == 0] for k in range(200)], ids).withColumn("__copies", F.lit(1)).withColumn("__row", F.lit(2))
+        rows = mixing.mix(spark, docs).select("source_size", "target", "taken").collect()
+        wanted = {r.source_size: r.target for r in rows}
+        got = mixing.mixed(spark, docs)
+        assert got.columns == docs.columns
+        taken = {r.source: r.n for r in got.groupBy("source").agg(F.sum(F.size(F.split("text", " "))).alias("n")).collect()}
+        total = {s: sum(len(t.split()) for k, t in enumerate(texts) if "ab"[k % 5 == 0] == s) for s in "ab"}
+        for s in "ab":
+            assert abs(taken[s] - wanted[total[s]]) <= 10, (ids[:2], taken, wanted)
+
+
+def test_mixing_rates_are_exponential_in_size(spark):
+    rng = np.random.default_rng(12)
+    texts = [" ".join(["w"] * int(n)) for n in rng.integers(1, 80, 500)]
+    rows = mixing.mix(spark, documents(spark, texts, ["abc"[k % 3] for k in range(500)])).collect()
+    for total in {r.source_size for r in rows}:
+        own = {r.size: r.rate for r in rows if r.source_size == total}
+        t = {round(math.log(v) / k, 6) for k, v in own.items() if v < 1.999999}
+        assert max(t, default=0) - min(t, default=0) < 1e-5 and abs(sum(r.size * r.rate for r in rows if r.source_size == total) - next(r.target for r in rows if r.source_size == total)) < 0.01
+
+
+def test_mixing_edges(spark):
+    assert mixing.mix(spark, documents(spark, [])).collect() == [] and mixing.mixed(spark, documents(spark, [])).collect() == []
+    got = mixing.mix(spark, documents(spark, [None, "", "w " * 30_000, "x"], [None, "a", "a", None])).collect()
+    assert sorted(r.size for r in got) == [0, 0, 1, 30_000]
+
+
+def test_mixing_of_many_sources(spark):
+    texts = ["w " * (1 + k % 7) for k in range(3000)]
+    rows = mixing.mix(spark, documents(spark, texts, [f"https://host/{k}" for k in range(3000)])).collect()
+    size = {f"https://host/{k}": 1 + k % 7 for k in range(3000)}
+    names = sorted(size)
+    weight, fixed = {n: (3, 1, 2)[i % 3] for i, n in enumerate(names)}, {}
+    while True:
+        free = [n for n in names if n not in fixed]
+        level = (1.5 * sum(size.values()) - sum(fixed.values())) / sum(weight[n] for n in free)
+        over = [n for n in free if weight[n] * level > 2 * size[n]]
+        if not over:
+            break
+        fixed |= {n: 2.0 * size[n] for n in over}
+    assert all(math.isclose(r.target, fixed.get(n, weight[n] * level)) for r in rows for n in [f"https://host/{r.doc_id}"])
