@@ -7,10 +7,16 @@ neighbouring cells. Pairs that meet are verified by cosine in double precision.
 
 Equal vectors become one class first; a class counts its size, so copies are
 never paired. Classes of one cell meet in bounded blocks in the first table
-where they share a cell; pairs that meet only by probing follow. A null, zero
-or non-finite vector, or one that holds a null, links with nothing; so do
-vectors of another length than the most common one's pairs with it. Rows that
-repeat an id are compared as rows of their own and share a component.
+where they share a cell. A block gives each of its classes the number of rows
+it links with and one link to a root of its component there, never a list of
+its pairs. Pairs that meet only by probing follow.
+
+A null, zero or non-finite vector, or one that holds a null, links with
+nothing; vectors link with those of their own length alone. Rows that repeat an
+id, or have none, are compared as rows of their own. A component is named by
+its smallest id, by null where no row of it has one; a row is kept if it has
+that id, or if there is none. An empty table gives no rows; extra columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -93,7 +99,8 @@ def cells(unit: np.ndarray, tables: int = TABLES, probes: int = PROBES, width: f
 
 
 _CELLS = T.StructType([T.StructField("id", T.LongType()), T.StructField("vec", T.BinaryType()), T.StructField("signs", T.LongType()), T.StructField("own", T.ArrayType(T.LongType())), T.StructField("near", T.ArrayType(T.LongType()))])
-_LINKS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+#: A link of classes a and b, or without b the number of rows that a links with.
+_LINKS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("n", T.LongType())])
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
@@ -122,41 +129,58 @@ def _hashed(classes: DataFrame) -> DataFrame:
     return classes.select("id", "vec").mapInArrow(trimmed(run), _CELLS)
 
 
-def _emit(a: list, b: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a) if a else [], pa.int64()), pa.array(np.concatenate(b) if b else [], pa.int64())], _LINKS.names)
+def roots(linked: np.ndarray) -> np.ndarray:
+    """The first member of each row's component in a symmetric matrix of links."""
+    root = np.full(len(linked), -1)
+    for first in range(len(linked)):
+        if root[first] < 0:
+            new = np.array([first])
+            while len(new):
+                root[new] = first
+                new = np.flatnonzero(linked[new].any(0) & (root < 0))
+    return root
+
+
+def _emit(ids: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray, ok: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Counts and spanning links of the matrix ok between rows left and right of a block."""
+    if not ok.any():
+        return
+    same = left is right
+    count = np.zeros(len(ids), np.int64)
+    count[left] += ok @ sizes[right]
+    if not same:
+        count[right] += ok.T @ sizes[left]
+    both = left if same else np.concatenate([left, right])
+    full = ok if same else np.block([[np.zeros((len(left),) * 2, bool), ok], [ok.T, np.zeros((len(right),) * 2, bool)]])
+    root = roots(full)
+    tied, met = np.flatnonzero(root != np.arange(len(root))), np.flatnonzero(count)
+    a, b = np.concatenate([ids[met], ids[both[tied]]]), pa.array([None] * len(met) + ids[both[root[tied]]].tolist(), pa.int64())
+    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), b, pa.array(np.concatenate([count[met], np.zeros(len(tied), np.int64)]))], _LINKS.names)
 
 
 def _within(members: DataFrame, least: float) -> DataFrame:
     """Links of classes that share a cell, each in the first table where they do."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b, held = [], [], 0
         for g in groups(batches, 3):
             i, j, table = (g.column(c)[0].as_py() for c in (1, 2, 3))
-            ids, blk, vecs = g.column(4).to_numpy(), g.column(5).to_numpy(), g.column(6).to_pylist()
+            ids, blk, vecs, n = g.column(4).to_numpy(), g.column(5).to_numpy(), g.column(6).to_pylist(), g.column(8).to_numpy()
             own = np.array(g.column(7).to_pylist(), np.int64)
             sizes = np.array([len(v) for v in vecs])
             for d in np.unique(sizes):
-                k = np.flatnonzero(sizes == d)
-                if len(k) < 2:
+                left = np.flatnonzero((sizes == d) & (blk == i))
+                right = left if i == j else np.flatnonzero((sizes == d) & (blk == j))
+                if not len(left) or not len(right):
                     continue
-                u = np.frombuffer(b"".join(vecs[x] for x in k), np.float64).reshape(len(k), -1)
-                left, right = (k[blk[k] == i], k[blk[k] == j])
-                x, y = np.nonzero((u[blk[k] == i] @ u[blk[k] == j].T) >= least)
-                x, y = left[x], right[y]
-                ok = (x < y) if i == j else np.ones(len(x), bool)
+                u, v = (np.frombuffer(b"".join(vecs[x] for x in k), np.float64).reshape(len(k), -1) for k in (left, right))
+                ok = u @ v.T >= least
+                if i == j:
+                    np.fill_diagonal(ok, False)
                 for t in range(table):
-                    ok &= own[x, t] != own[y, t]
-                x, y = ids[x[ok]], ids[y[ok]]
-                a.append(np.minimum(x, y))
-                b.append(np.maximum(x, y))
-                held += len(x)
-            if held > 100_000:
-                yield _emit(a, b)
-                a, b, held = [], [], 0
-        yield _emit(a, b)
-
-    df = block_pairs(members, "key", "id", BLOCK).select("key", "i", "j", "table", "id", "blk", "vec", "own")
+                    ok &= own[left, t][:, None] != own[right, t][None, :]
+                yield from _emit(ids, n, left, right, ok)
+
+    df = block_pairs(members, "key", "c", BLOCK).select("key", "i", "j", "table", "c", "blk", "vec", "own", "n")
     return df.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(trimmed(run), _LINKS)
 
 
@@ -166,8 +190,14 @@ def _across(pairs: DataFrame, least: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             u, v = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            ok = np.array([len(x) == len(y) and float(np.frombuffer(x) @ np.frombuffer(y)) >= least for x, y in zip(u, v, strict=True)], bool)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok)), batch.column(1).filter(pa.array(ok))], _LINKS.names)
+            ok = np.zeros(batch.num_rows, bool)
+            sizes = np.array([len(x) if len(x) == len(y) else 0 for x, y in zip(u, v, strict=True)], np.int64)
+            for d in np.unique(sizes[sizes > 0]):
+                k = np.flatnonzero(sizes == d)
+                x, y = (np.frombuffer(b"".join(w[m] for m in k), np.float64).reshape(len(k), -1) for w in (u, v))
+                ok[k] = np.einsum("ij,ij->i", x, y) >= least
+            ok = pa.array(ok)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok), pa.nulls(ok.true_count, pa.int64())], _LINKS.names)
 
     return pairs.select("a", "b", "va", "vb").mapInArrow(trimmed(run), _LINKS)
 
@@ -183,28 +213,30 @@ def near_duplicates(spark: SparkSession, table: DataFrame, id_col: str = "vec_id
     rows = table.select(F.col(id_col).cast("long").alias("id"), vec.alias("vec"))
     rows = rows.withColumn("ok", F.coalesce(valid(F.col("vec")), F.lit(False)))
     rows = rows.withColumn("f", F.when(F.col("ok"), F.sha2(F.to_json("vec").cast("binary"), 256)))
-    classes = rows.where("ok AND id IS NOT NULL").groupBy("f").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.first("vec").alias("vec"))
-    classes = materialize(spark, classes, "classes")
-    hashed = materialize(spark, _hashed(classes), "cells")
-    own = hashed.select("id", F.posexplode("own").alias("table", "key"))
-    many = own.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    members = own.join(many, "key").join(hashed.select("id", "vec", "own"), "id").select("key", "table", "id", "vec", "own")
+    classes = rows.where("ok").groupBy("f").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.first("vec").alias("vec"))
+    classes = materialize(spark, classes.withColumn("c", F.monotonically_increasing_id()), "classes")  # from here on a class is its number c
+    hashed = materialize(spark, _hashed(classes.select(F.col("c").alias("id"), "vec")).withColumnRenamed("id", "c"), "cells")
+    own = hashed.select("c", F.posexplode("own").alias("table", "key"))
+    many = own.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
+    members = own.join(many, "key").join(hashed.select("c", "vec", "own").join(classes.select("c", "n"), "c"), "c").select("key", "table", "c", "vec", "own", "n")
     within = materialize(spark, _within(members, least), "within")
     # Probed cells; pairs that share a cell in some table are done.
-    probed = hashed.select(F.col("id").alias("p"), F.col("signs").alias("sp"), F.explode("near").alias("key"))
-    met = hashed.select(F.col("id").alias("q"), F.col("signs").alias("sq"), F.explode("own").alias("key")).join(probed, "key")
+    probed = hashed.select(F.col("c").alias("p"), F.col("signs").alias("sp"), F.explode("near").alias("key"))
+    met = hashed.select(F.col("c").alias("q"), F.col("signs").alias("sq"), F.explode("own").alias("key")).join(probed, "key")
     met = met.where(f"p <> q AND bit_count(sp ^ sq) <= {SIGNS_APART}")
     met = materialize(spark, met.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct(), "met")
-    left = hashed.select(F.col("id").alias("a"), F.col("vec").alias("va"), F.col("own").alias("oa"))
-    right = hashed.select(F.col("id").alias("b"), F.col("vec").alias("vb"), F.col("own").alias("ob"))
+    left = hashed.select(F.col("c").alias("a"), F.col("vec").alias("va"), F.col("own").alias("oa"))
+    right = hashed.select(F.col("c").alias("b"), F.col("vec").alias("vb"), F.col("own").alias("ob"))
     rest = met.join(left, "a").join(right, "b").where(~F.exists(F.zip_with("oa", "ob", lambda x, y: x == y), lambda x: x))
-    links = within.unionByName(materialize(spark, _across(rest, least), "across"))
-    sizes = classes.select("id", "n")
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    degree = both.join(sizes.toDF("b", "m"), "b").groupBy("a").agg(F.sum("m").alias("m"))
-    comps = connected_components(spark, links).toDF("id", "component")
-    of = classes.select("f", "id", "n").join(degree.withColumnRenamed("a", "id"), "id", "left").join(comps, "id", "left")
-    of = of.select("f", (F.col("n") - 1 + F.coalesce("m", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    across = materialize(spark, _across(rest, least), "across")
+    sizes = classes.select("c", "n")
+    ends = across.select("a", "b").unionByName(across.select(F.col("b").alias("a"), F.col("a").alias("b"))).join(sizes.toDF("b", "n"), "b").select("a", "n")
+    degree = within.where("b IS NULL").select("a", "n").unionByName(ends).groupBy("a").agg(F.sum("n").alias("m"))
+    comps = connected_components(spark, within.where("b IS NOT NULL").select("a", "b").unionByName(across.select("a", "b"))).toDF("c", "root")
+    of = classes.select("f", "c", "id", "n").join(degree.withColumnRenamed("a", "c"), "c", "left").join(comps, "c", "left").withColumn("root", F.coalesce("root", "c"))
+    of = materialize(spark, of, "of")
+    named = of.groupBy("root").agg(F.min("id").alias("component_id"))
+    of = of.join(named, "root").select("f", (F.col("n") - 1 + F.coalesce("m", F.lit(0))).alias("n_links"), "component_id", F.lit(True).alias("linked"))
     out = rows.select("id", "f").join(of, "f", "left")
-    component = F.coalesce("component_id", "id")
-    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    component = F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("id"))
+    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, component.isNull()).alias("kept"))
