@@ -136,12 +136,6 @@ def test_toxicity_drops_verified_copies_only(spark):
     assert {r.id for r in toxicity._once(spark, rows).collect()} == set(range(8))
 
 
-def test_toxicity_without_labels(spark):
-    docs = documents(spark, ["a b c", None])
-    got = toxicity.score(spark, docs, spark.createDataFrame([], "doc_id long, toxic int")).collect()
-    assert [r.score for r in got] == [0.5, 0.5]
-
-
 # mixing
 
 
@@ -529,3 +523,195 @@ def test_html_edges(spark):
     pages = spark.createDataFrame([(None, None, "<p>a</p>", 1), (1, "u", None, 2), (1, "u", "", 3), (2, "v", "<p>" + "word " * 200_000, 4)], "page_id long, url string, html string, text int")
     got = html_extract.extract_pages(pages).collect()
     assert sorted(r.n_chars for r in got) == [0, 0, 1, 999_999] and html_extract.extract_pages(pages.limit(0)).collect() == []
+
+
+def test_lattice_counts_rows_of_a_repeated_id(spark):
+    rows = [(20, [1.0, 2.0, 3.0]), (20, [-1.0, 2.0, 0.0]), (1, [1.0, 2.0, 3.1]), (80, [9.0, -9.0, 1.0]), (None, [1.0, 2.0, 3.0]), (None, [5.0, 5.0, -70.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("n_links", F.lit("x"))
+    got = sorted((r.vec_id or -1, r.n_links, r.component_id or -1, r.kept) for r in lattice_dedup.near_duplicates(spark, df).collect())
+    assert got == [(-1, 0, -1, True), (-1, 2, 1, False), (1, 2, 1, True), (20, 0, 20, True), (20, 2, 1, False), (80, 0, 80, True)]
+    assert lattice_dedup.near_duplicates(spark, df.limit(0)).collect() == []
+
+
+def test_lattice_blocks_of_a_large_group(spark, monkeypatch):
+    monkeypatch.setattr(lattice_dedup, "BLOCK", 16)
+    rng = np.random.default_rng(3)
+    x = np.concatenate([np.repeat(rng.standard_normal((1, 8)), 90, 0) + rng.standard_normal((90, 8)) * 0.28, rng.standard_normal((30, 8))])
+    got = {r.vec_id: r for r in lattice_dedup.near_duplicates(spark, spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    c = u @ u.T >= 0.9
+    missed = sum(int(c[k].sum() - 1) - got[k].n_links for k in range(120))
+    assert 0 <= missed <= 0.01 * c.sum() and all(got[k].component_id <= k for k in range(120))
+
+
+def test_search_of_repeated_ids(spark):
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((60, 6))
+    ids = [20, 20, *range(100, 158)]
+    got = hilbert_search.search(spark, spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>").withColumn("score", F.lit(1)), k=5).collect()
+    for q in (0, 1):
+        s = hilbert_search.exact_scores(x[q], x)
+        want = [(k + 1, ids[i], float(s[i])) for k, i in enumerate([i for i in np.lexsort((ids, -s)) if i != q][:5])]
+        assert all(w in [(r["rank"], r.vec_id, r.score) for r in got if r.query_id == 20] for w in want)
+    assert sum(r.query_id == 20 for r in got) == 10
+
+
+V = "Gh1jK9xQ7zLm"
+
+
+@pytest.mark.parametrize("text", [
+    f'let credential: string = "{V}";', f'x["credential"] = "{V}"', f'os.environ["AUTH"] = "{V}"', f'credential = decode("{V}")', f'credential = f"{V}"', f'credential = """{V}"""',
+    f"auth:\n  value: {V}\n", f'auth:\n  value: "{V}"\n', f"[credential]\nvalue = {V}\n", f"X=${{CREDENTIAL:-{V}}}", f"credential: |\n  {V}\nother: 1\n", f"const credential = `{V}`",
+    f'{{"credential": "{V}"}}', f"<credential>{V}</credential>", f'<add key="Credential" value="{V}"/>', f"run --credential {V} -x", f'A = "{V}"\nB = A\nclient.pwd = B\n', f'connect(user="x", pwd="{V}")', f'setenv("AUTH_KEY", "{V}")',
+    f'pwd = A\nA = "{V}"\n', f'credential = os.getenv("C") or "{V}"', f"def f():\n    k = '{V}'\n    return login(pwd=k)\n", f'it\'s so: pwd = "{V}"', f'map.put("passphrase", "{V}");', f'credential := "{V}"', f'creds = {{\n  "credential" => "{V}",\n}}',
+])
+def test_secret_lexer_finds(text):
+    assert V in [text[s[0] : s[2]] for s in secret_scan.spans(text)[1]] and V not in secret_scan.redacted(text)
+
+
+def test_secret_lexer_last_assignment_and_parts():
+    t = f'A = "harmless value"\nA = "{V}"\npwd = A\n'
+    assert [t[s[0] : s[2]] for s in secret_scan.spans(t)[1]] == [V]
+    t = f'base = "Qm4TzX81"\ncredential = base + "{V}"\n'
+    assert secret_scan.redacted(t) == 'base = "[SECRET]"\ncredential = base + "[SECRET]"\n'
+    t = f"def f():\n    k = '{V}'\ndef g():\n    pwd = k\nk = 'Zr8Yq2Wn5T'\n"
+    assert "Zr8Yq2Wn5T" in [t[s[0] : s[2]] for s in secret_scan.spans(t)[1]]
+
+
+@pytest.mark.parametrize("text", ["the key to this: patience and time", "auth: required for all users", "a token of thanks = love", 'title = "Some Words Here 12"', "it's the author's keynote: 'secret gardens'", 'passed = "Gh1jK9xQ7zLm"', "pwd = os.getenv('HOME')"])
+def test_secret_lexer_leaves(text):
+    assert [s for s in secret_scan.spans(text)[1] if s[1] == 3] == []
+
+
+@pytest.mark.parametrize("text", ['"\\\\' + '\\\\"' * 60_000, "pwd=(a=(" * 40_000, "auth:\n " * 40_000, "x[" * 80_000, "'" * 100_001, "`" * 100_001, "--pwd " * 60_000, "pwd = " + "a." * 80_000, "def f(\n" * 30_000, "<a>" * 60_000, "k: |\n x\n" * 30_000, "pwd = a + " * 30_000])
+def test_secret_lexer_is_linear(text):
+    import time
+
+    began = time.perf_counter()
+    secret_scan.spans(text)
+    assert time.perf_counter() - began < 10
+
+
+def brute_base(text):
+    """Base spans character by character, without regexes of the module."""
+    words, out = ("password", "passwd", "secret", "token", "apikey", "api_key"), []
+    value = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+    low = "".join(c.lower() if c.isascii() else c for c in text)
+    at = 0
+    while at < len(text):
+        w = next((w for w in words if low.startswith(w, at)), None)
+        k = at + len(w or "")
+        if w and text[k : k + 1] in ("'", '"') and text[k : k + 1]:
+            k += 1
+        while w and text[k : k + 1] == " ":
+            k += 1
+        if not w or text[k : k + 1] not in (":", "=") or not text[k : k + 1]:
+            at += 1
+            continue
+        k += 1
+        while text[k : k + 1] == " ":
+            k += 1
+        if text[k : k + 1] in ("'", '"') and text[k : k + 1]:
+            k += 1
+        e = k
+        while e < len(text) and text[e] in value:
+            e += 1
+        if e == k:
+            at += 1
+            continue
+        if e - k >= 6:
+            out.append(("assign", at, e))
+        at = e
+    for kind, head, chars, least in (("access", "AKIA", set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 20), ("hex", "", set("0123456789abcdef"), 24)):
+        at = 0
+        while at < len(text):
+            e = at + len(head)
+            if not text.startswith(head, at):
+                at += 1
+                continue
+            while e < len(text) and text[e] in chars:
+                e += 1
+            if e == at + len(head):
+                at += 1
+                continue
+            if e - at >= least:
+                out.append((kind, at, e))
+            at = e
+    return sorted(out, key=lambda x: (x[1], secret_scan.KINDS.index(x[0])))
+
+
+def test_secret_base_against_brute_force(spark):
+    rng = np.random.default_rng(9)
+    bits = ["password", "Token", "api_key", "APIKEY", "secret", "=", ":", " ", " ", '"', "'", "abcdef", "x9/", "AKIA", "ABCDEFGHIJKLMNOP", "0123456789abcdef", "deadbeef", "\n", "é", "ſ", "passwd"]
+    texts = ["".join(rng.choice(bits, rng.integers(1, 25))) for _ in range(1500)]
+    for t, r in zip(texts, sorted(secret_scan.scan(documents(spark, texts)).collect()), strict=True):
+        base = brute_base(t)
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest(), t
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(x[0] == k for x in base) for k in ("assign", "access", "hex"))
+
+
+def test_secret_edges(spark):
+    docs = documents(spark, ["password=hunter22", None], ids=[None, None]).withColumn("__masked", F.lit("m")).withColumn("spans", F.lit(1))
+    assert secret_scan.scan(docs).count() == 2 and secret_scan.redact(docs).columns == docs.columns
+    assert sorted(str(r.text) for r in secret_scan.redact(docs).collect()) == ["None", "password=[SECRET]"]
+    assert secret_scan.scan(docs.limit(0)).collect() == [] and secret_scan.redact(docs.limit(0)).collect() == []
+
+
+def induction_corpus():
+    """Toxic documents hold two of eight bad words; labels cover few documents, and none that hold the last four."""
+    rng = np.random.default_rng(21)
+    words, bad = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}rd" for i in range(300)], ["badone", "evltwo", "gritre", "hatfou", "ickfiv", "jolsix", "karsev", "lomeig"]
+    texts, y, labelled = [], [], []
+    for k in range(2000):
+        t = list(rng.choice(words, 40))
+        y.append(int(k % 8 == 0))
+        mine = rng.choice(bad, 2, replace=False).tolist() if y[-1] else []
+        texts.append(" ".join([*t[:9], *mine, *t[9:]]))
+        if k < 900 and not {*mine} & {*bad[4:]}:
+            labelled.append((k, y[-1]))
+    return texts, y, labelled, bad
+
+
+def auc(score, y):
+    order = {k: r for r, k in enumerate(sorted(range(len(y)), key=lambda k: score[k]))}
+    pos = [k for k in range(len(y)) if y[k]]
+    return (sum(order[k] for k in pos) - len(pos) * (len(pos) - 1) / 2) / (len(pos) * (len(y) - len(pos)))
+
+
+def test_toxicity_walk_finds_terms_that_labels_lack(spark, monkeypatch):
+    texts, y, labelled, bad = induction_corpus()
+    docs, labels = documents(spark, texts), spark.createDataFrame(labelled, "doc_id long, toxic int")
+    rows = docs.join(labels, "doc_id").select("text", (F.col("toxic") > 0).alias("y"))
+    weights = toxicity.induce(spark, docs.select("text"), rows)
+    assert {*bad[:4]} <= {*weights} and len({*bad[4:]} & {*weights}) >= 3 and all(t.rstrip("~")[:4] in {b[:4] for b in bad} for t in weights)
+    held = [k for k in range(2000) if zlib.crc32(str(k).encode()) % 4 == 2]
+    got = {r.doc_id: r.score for r in toxicity.score(spark, docs, labels).collect()}
+    counts = toxicity._count_terms(rows)
+    seeds = {t: 1.0 for t, _, _ in toxicity.seeds_of(spark, counts, sum(v for _, v in labelled), sum(1 - v for _, v in labelled))[0]}
+    monkeypatch.setattr(toxicity, "induce", lambda *a: seeds)
+    without = {r.doc_id: r.score for r in toxicity.score(spark, docs, labels).collect()}
+    a, b = auc([got[k] for k in held], [y[k] for k in held]), auc([without[k] for k in held], [y[k] for k in held])
+    assert a > 0.99 and a > b + 0.02
+
+
+def test_toxicity_walks_against_matrix(spark):
+    e = [(0, 1, 2.0), (1, 0, 2.0), (1, 2, 1.0), (2, 1, 1.0), (2, 3, 3.0), (3, 2, 3.0)]
+    got = toxicity.walks(spark, spark.createDataFrame(e, "i int, j int, w double"), spark.createDataFrame([(0, 1.0, 0.0), (3, 0.0, 1.0)], "id int, up double, down double"), 10)
+    m = np.zeros((4, 4))
+    for i, j, w in e:
+        m[i, j] = w
+    m /= m.sum(1, keepdims=True)
+    p = start = np.array([[1.0, 0, 0, 0], [0, 0, 0, 1.0]])
+    for _ in range(10):
+        p = toxicity.RESTART * start + (1 - toxicity.RESTART) * p @ m
+    for r in got.collect():
+        assert np.allclose([r.up, r.down], p[:, r.id])
+
+
+@pytest.mark.parametrize("labels", [[], [(k, 1) for k in range(40)], [(k, 0) for k in range(40)], [(None, 1), (1, None)]])
+def test_toxicity_without_both_kinds_predicts_nothing(spark, labels):
+    docs = documents(spark, ["bad word here"] * 48 + [None, ""], ids=[*range(49), None])
+    frame = spark.createDataFrame(labels, "doc_id long, toxic int")
+    assert all(r.score == 0 and r.predicted == 0 for r in toxicity.score(spark, docs, frame).collect())
+    kept = toxicity.clean(spark, docs, frame)
+    assert kept.count() == 50 and kept.columns == docs.columns and toxicity.score(spark, docs.limit(0), frame).collect() == []
