@@ -128,12 +128,10 @@ def test_toxicity_held_out(spark):
     assert got[600].predicted == got[601].predicted == 0
 
 
-def test_toxicity_drops_verified_copies_only(spark):
-    common = [f"c{k}" for k in range(60)]
-    texts = [" ".join([*common, *(f"{x}{k}" for k in range(60))]) for x in "abcdefgh"]
-    texts += [texts[0] + " end", texts[1]]  # a near and an exact copy
-    rows = spark.createDataFrame([(k, t, True) for k, t in enumerate(texts)], "id long, text string, y boolean")
-    assert {r.id for r in toxicity._once(spark, rows).collect()} == set(range(8))
+def test_toxicity_counts_places_not_copies(spark):
+    rows = [(f"one two badword three {k}", True) for k in range(9)] + [(f"x{'abcdefgh'[k]} evilword", True) for k in range(8)] + [("same clean words here", False)] * 50
+    got = {r.term: (r.pos, r.neg) for r in toxicity._count_terms(spark.createDataFrame(rows, "text string, y boolean").coalesce(1)).collect()}
+    assert got["badword"] == (1, 0) and got["evilword"] == (8, 0) and got["clean"] == (0, 50) and got["evil~"] == (8, 0)
 
 
 # mixing
