@@ -656,16 +656,16 @@ def test_secret_edges(spark):
 
 
 def induction_corpus():
-    """Toxic documents hold two of eight bad words; labels cover few documents, and none that hold the last four."""
+    """Toxic documents hold three of eight bad words; labels cover few documents, and none that hold the last four."""
     rng = np.random.default_rng(21)
     words, bad = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}rd" for i in range(300)], ["badone", "evltwo", "gritre", "hatfou", "ickfiv", "jolsix", "karsev", "lomeig"]
     texts, y, labelled = [], [], []
     for k in range(2000):
         t = list(rng.choice(words, 40))
         y.append(int(k % 8 == 0))
-        mine = rng.choice(bad, 2, replace=False).tolist() if y[-1] else []
+        mine = rng.choice(bad, 3, replace=False).tolist() if y[-1] else []
         texts.append(" ".join([*t[:9], *mine, *t[9:]]))
-        if k < 900 and not {*mine} & {*bad[4:]}:
+        if not {*mine} & {*bad[4:]} and (y[-1] or k < 900):
             labelled.append((k, y[-1]))
     return texts, y, labelled, bad
 
