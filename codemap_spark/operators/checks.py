@@ -11,6 +11,7 @@ from codemap_spark.operators.graph import _saved
 SEVERITY = {
     "E_STRUCTURAL_DRIFT": "error", "E_BOUNDARY_VIOLATION": "error", "E_CONTRACT_MISSING_EXPORT": "error", "E_UNRESOLVED_REFERENCE": "warning", "E_STALE_INTERFACE": "error",
     "E_CYCLE_DETECTED": "error", "E_COMPOSITION_ROOT": "warning", "E_ORPHAN_EXPORT": "warning", "E_UNOWNED_FILE": "error", "E_COVERAGE_GAP": "warning",
+    "E_SCHEMA_INVALID": "error", "E_SUBSYSTEM_NOT_FOUND": "error", "E_MANIFEST_PARSE_ERROR": "error", "E_EXTERNAL_SYMLINK": "warning", "E_UNSUPPORTED_LANGUAGE": "warning",
     "E_SUBSYSTEM_OVERLAP": "warning", "E_EXTRACTION_FAILED": "warning", "E_SCHEMA_UNPARSED": "warning", "E_SCHEMA_NO_ORDER": "warning", "E_ADAPTER_CONTRACT": "warning", "E_UNSUPPORTED_SURFACE_STALE": "warning",
 }
 
@@ -40,14 +41,40 @@ def unresolved(consumed: DataFrame, declared: DataFrame) -> DataFrame:
 def boundary(used: DataFrame, actual: DataFrame, declared: DataFrame) -> DataFrame:
     """Each use of a provider's symbol that it does not declare; uses of the own subsystem don't count."""
     key = ["provider", "name"]
-    a, d = (x.select(F.col("subsystem").alias("provider"), "name").distinct() for x in (actual, declared))
-    return used.where("consumer <> provider").join(a, key, "left_semi").join(d, key, "left_anti")
+    # One aggregate tells what is a symbol and not declared, in place of a semi and an anti join on one key.
+    sides = actual.select("subsystem", "name", F.lit(1).alias("s"), F.lit(0).alias("d")).unionByName(declared.select("subsystem", "name", F.lit(0).alias("s"), F.lit(1).alias("d")))
+    inner = sides.groupBy(F.col("subsystem").alias("provider"), "name").agg(F.max("s").alias("s"), F.max("d").alias("d")).where("s = 1 AND d = 0").select(*key)
+    return used.where("consumer <> provider").join(inner, key, "left_semi")
 
 
 def orphans(declared: DataFrame, consumed: DataFrame) -> DataFrame:
     """(subsystem, name): declared, but consumed by none, of providers of which anything is consumed."""
-    c = consumed.select(F.col("provider").alias("subsystem"), "name").distinct()
-    return declared.join(c.select("subsystem").distinct(), "subsystem", "left_semi").join(c, ["subsystem", "name"], "left_anti").select("subsystem", "name")
+    sides = declared.select("subsystem", "name", F.lit(1).alias("d"), F.lit(0).alias("c")).unionByName(consumed.select(F.col("provider").alias("subsystem"), "name", F.lit(0).alias("d"), F.lit(1).alias("c")))
+    per = sides.groupBy("subsystem", "name").agg(F.max("d").alias("d"), F.max("c").alias("c"))
+    # A subsystem's flag is spread over rows that its key has brought together.
+    tracked = per.groupBy("subsystem").agg(F.max("c").alias("t")).where("t = 1").select("subsystem")
+    return per.where("d = 1 AND c = 0").join(tracked, "subsystem", "left_semi").select("subsystem", "name")
+
+
+def orphan_rollup(orphaned: DataFrame) -> DataFrame:
+    """(subsystem, n, sample): one row a subsystem."""
+    return orphaned.groupBy("subsystem").agg(F.count("*").alias("n"), sampled(F.collect_list(F.col("name").cast("string"))).alias("sample"))
+
+
+def contract_columns(missing: DataFrame, declared: DataFrame, tables: DataFrame) -> DataFrame:
+    """missing (with provider, name) without names ``table.column`` whose table is declared and still has the column."""
+    parts = F.split(F.col("name").cast("string"), r"\.", 2)
+    live = tables.select(F.col("subsystem").alias("provider"), F.col("tbl").alias("t"), F.explode("columns").alias("c")).distinct()
+    d = declared.select(F.col("subsystem").alias("provider"), F.col("name").cast("string").alias("t")).distinct()
+    live = live.join(d, ["provider", "t"], "left_semi").select("provider", F.concat_ws(".", "t", "c").alias("full"))
+    m = missing.withColumn("full", F.when(F.size(parts) > 1, F.col("name").cast("string")))
+    return m.join(live, ["provider", "full"], "left_anti").select(*missing.columns)
+
+
+def stale_interfaces(edges: DataFrame, propagated: DataFrame, dirty: DataFrame) -> DataFrame:
+    """(consumer, providers): propagated consumers with those of their providers that changed; none where they lie further up."""
+    hit = edges.join(dirty.select(F.col("id").alias("v")), "v", "left_semi").groupBy(F.col("u").alias("id")).agg(F.array_join(F.transform(F.array_sort(F.collect_set("v")), lambda x: x.cast("string")), ",").alias("providers"))
+    return propagated.join(hit, "id", "left").select(F.col("id").alias("consumer"), "providers")
 
 
 def cross_impact(edges: DataFrame, dirty: DataFrame) -> DataFrame:
@@ -67,19 +94,26 @@ def issues(df: DataFrame, code: str, subsystem: str, message) -> DataFrame:
 
 
 def apply_policy(found: DataFrame, rules: DataFrame) -> DataFrame:
-    """found with rule_ord, suppressed, severity: the first rule whose filled fields all match; few rules, many findings."""
-    from pyspark.sql import Window
+    """found with severity and suppressed by the first rule whose filled fields all match.
 
-    r = rules.select("rule_ord", F.col("code").alias("rc"), F.col("subsystem").alias("rs"), F.col("contains").alias("rm"), F.col("action").alias("ra"))
-    match = (F.col("rc").isNull() | (F.col("rc") == F.col("code"))) & (F.col("rs").isNull() | (F.col("rs") == F.col("subsystem"))) & (F.col("rm").isNull() | F.col("message").contains(F.col("rm")))
-    rows = found.join(F.broadcast(r), match, "left")  # a rule file has a handful of lines
-    first = rows.withColumn("k", F.row_number().over(Window.partitionBy(*found.columns).orderBy(F.col("rule_ord").asc_nulls_last()))).where("k = 1")
-    severity = F.when(F.col("ra") == "suppress", "info").when(F.col("ra").isNotNull(), F.col("ra")).otherwise(F.col("severity"))
-    return first.select("code", "subsystem", "message", severity.alias("severity"), F.coalesce(F.col("ra") == "suppress", F.lit(False)).alias("suppressed"))
+    The lines of a rule file become one chain of conditions: no join, no
+    shuffle, and equal findings stay apart.
+    """
+    action = F.lit(None).cast("string")
+    for r in sorted(rules.collect(), key=lambda r: r.rule_ord, reverse=True):
+        match = F.lit(True)
+        for field, value in (("code", r.code), ("subsystem", r.subsystem)):
+            match = match if value is None else match & (F.col(field) == value)
+        match = match if r.contains is None else match & F.col("message").contains(r.contains)
+        action = F.when(match, r.action).otherwise(action)
+    rows = found.withColumn("action", action)
+    severity = F.when(F.col("action") == "suppress", "info").otherwise(F.coalesce("action", "severity"))
+    keep = [c for c in found.columns if c not in ("code", "subsystem", "message", "severity")]
+    return rows.select("code", "subsystem", "message", severity.alias("severity"), F.coalesce(F.col("action") == "suppress", F.lit(False)).alias("suppressed"), *keep)
 
 
 def ranked(found: DataFrame) -> DataFrame:
-    """found with its place in the report: severity, code, subsystem, message.
+    """found with its place in the report: severity, code, subsystem, file where there is one, message.
 
     Ranges of that order are counted and each is ranked on its own, from the
     count of those before it; only the counts meet in one task. The ranges are
@@ -88,7 +122,8 @@ def ranked(found: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
     rank = F.when(F.col("severity") == "error", 0).when(F.col("severity") == "warning", 1).otherwise(2)
-    order = [rank, F.col("code"), F.coalesce("subsystem", F.lit("")), F.col("message")]
+    file = [F.coalesce("file", F.lit(""))] if "file" in found.columns else []
+    order = [rank, F.col("code"), F.coalesce("subsystem", F.lit("")), *file, F.col("message")]
     parts = _saved(found.sparkSession, found.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
     before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     starts = parts.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(before, F.lit(0)).alias("start"))
@@ -109,3 +144,30 @@ def gate(found: DataFrame, mode: str = "full", enforce: str = "on", fail_on: tup
     blocked = F.when(F.col("unowned") > 0, True).when(advisory, False).when(F.col("failing") > 0, True).when(F.lit(enforce == "warn"), False).otherwise(strict & (F.col("errors") > 0))
     status = F.when(F.col("errors") > 0, "stale").when(F.col("unresolved") > 0, "unresolved").otherwise("fresh")
     return n.select(status.alias("status"), blocked.alias("blocked"))
+
+
+def tally(found: DataFrame) -> DataFrame:
+    """(code, severity, n): findings by code, each weighted by the count that it stands for."""
+    n = F.coalesce(F.col("count"), F.lit(1)) if "count" in found.columns else F.lit(1)
+    return found.groupBy("code", "severity").agg(F.sum(n.cast("long")).alias("n"))
+
+
+#: In which order kinds of findings are best mended, and how.
+LADDER = [
+    ("E_COVERAGE_GAP", "map the files"), ("E_CYCLE_DETECTED", "break the cycle in the source"), ("E_STRUCTURAL_DRIFT", "calibrate"), ("E_CONTRACT_MISSING_EXPORT", "calibrate"), ("E_STALE_INTERFACE", "calibrate"),
+    ("E_UNRESOLVED_REFERENCE", "declare, rename or prune the reference"), ("E_BOUNDARY_VIOLATION", "import what is exposed"), ("E_SUBSYSTEM_OVERLAP", "narrow a claim"), ("E_UNSUPPORTED_SURFACE_STALE", "look at the interfaces and confirm them"),
+]
+
+
+def ladder(found: DataFrame) -> DataFrame:
+    """(step, action): what to do, in order, for the codes that occur; codes with one action share its step."""
+    rung = {a: k for k, a in enumerate(dict.fromkeys(a for _, a in LADDER), 1)}
+    step = F.create_map(*(F.lit(x) for code, a in LADDER for x in (code, rung[a])))
+    name = F.create_map(*(F.lit(x) for code, a in LADDER for x in (code, a)))
+    return found.select(step[F.col("code")].alias("step"), name[F.col("code")].alias("action")).where("step IS NOT NULL").distinct()
+
+
+def fail_codes(given: list[str], policy: list[str]) -> list[str]:
+    """Codes that fail a run, those of the call first, each once."""
+    split = [c.strip() for g in given for c in g.split(",")]
+    return list(dict.fromkeys(c for c in [*split, *policy] if c))

@@ -72,6 +72,12 @@ def catalog_hash(columns: DataFrame) -> DataFrame:
     return columns.groupBy("tbl").agg(F.sha2(F.concat_ws("|", F.col("tbl").cast("string"), F.array_join(F.array_sort(F.collect_set("col")), ",")), 256).alias("hash"))
 
 
+def object_counts(log: DataFrame) -> DataFrame:
+    """(op, n_tables, n_objects): how many tables and named objects each operation touches."""
+    named = F.when(F.col("col").isNotNull(), F.concat_ws(".", F.col("tbl").cast("string"), F.col("col").cast("string")))
+    return log.groupBy("op").agg(F.countDistinct("tbl").alias("n_tables"), F.countDistinct(named).alias("n_objects"))
+
+
 def migration_order(files: DataFrame) -> DataFrame:
     """(subsystem, path, rank): explicit order first, then a leading number, then the name."""
     name = F.element_at(F.split("path", "/"), -1)

@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+#: Edges that a counted broadcast may hold; graphs of subsystems have hundreds.
+SMALL = 20_000
 #: Rounds of a loop whose tables stay apart before they are merged.
 MERGE = 8
 DEPTHS = {"core": -1, "connector": 1, "leaf": 0}
 
 
 def _saved(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared folder of spark.checkpoint.dir."""
+    """Cut lineage through the shared folder of spark.checkpoint.dir; a local one only where Spark runs in one process."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="codemap-")
         spark.sparkContext.setCheckpointDir(root)
     path = f"{root.rstrip('/')}/graph-{uuid.uuid4().hex}"
@@ -25,8 +31,65 @@ def _saved(spark: SparkSession, df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _small(spark: SparkSession, edges: DataFrame) -> tuple[list, bool]:
+    """The distinct edges where a count shows at most SMALL of them, and whether that is so."""
+    rows = edges.select("u", "v").distinct().limit(SMALL + 1).collect()
+    return (rows, True) if len(rows) <= SMALL else ([], False)
+
+
+def _reach(after: dict, seeds) -> dict:
+    """seed -> nodes on paths of one edge or more, by breadth-first search."""
+    out = {}
+    for s in seeds:
+        seen, todo = set(), [s]
+        while todo:
+            new = {w for v in todo for w in after.get(v, ())} - seen
+            seen |= new
+            todo = list(new)
+        out[s] = seen
+    return out
+
+
+def reached_from(spark: SparkSession, edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(seed, id): nodes from which edges u -> v lead to a seed; only what the seeds reach is searched."""
+    edges = edges.select("u", "v").distinct()
+    seeds = seeds.select(F.col("id").alias("seed"), "id")
+    rows, small = _small(spark, edges)
+    schema = T.StructType([T.StructField("seed", seeds.schema["id"].dataType), T.StructField("id", edges.schema["u"].dataType)])
+    if small:
+        back: dict = {}
+        for r in rows:
+            back.setdefault(r.v, []).append(r.u)
+        shared = spark.sparkContext.broadcast(back)
+
+        def run(batches):
+            for pdf in batches:
+                found = _reach(shared.value, pdf["id"].tolist())
+                yield pd.DataFrame([(s, x) for s, xs in found.items() for x in xs], columns=["seed", "id"])
+
+        return seeds.select("id").distinct().mapInPandas(run, schema)
+    edges, seen = _saved(spark, edges), None
+    frontier = _saved(spark, seeds)
+    rounds = 0
+    while True:
+        step = frontier.join(edges, frontier["id"] == edges.v).select("seed", F.col("u").alias("id")).distinct()
+        new = _saved(spark, step if seen is None else step.join(seen, ["seed", "id"], "left_anti"))
+        if new.isEmpty():
+            return new if seen is None else seen
+        seen, frontier, rounds = new if seen is None else seen.unionByName(new), new, rounds + 1
+        if rounds % MERGE == 0:
+            seen = _saved(spark, seen)
+
+
 def transitive_closure(spark: SparkSession, edges: DataFrame) -> DataFrame:
-    """(src, dst) for every path u -> v; semi-naive, stops when a round finds nothing new."""
+    """(src, dst) for every path u -> v.
+
+    Up to SMALL counted edges each source is searched on its own over a
+    broadcast of them; beyond, semi-naive rounds go on until one finds nothing.
+    """
+    if _small(spark, edges)[1]:
+        back = edges.select(F.col("v").alias("u"), F.col("u").alias("v"))
+        return reached_from(spark, back, edges.select(F.col("u").alias("id"))).select(F.col("seed").alias("src"), F.col("id").alias("dst"))
     edges = _saved(spark, edges.select("u", "v").distinct())
     seen = frontier = edges.select(F.col("u").alias("src"), F.col("v").alias("dst"))
     rounds = 0
@@ -50,6 +113,27 @@ def propagate(spark: SparkSession, edges: DataFrame, nodes: DataFrame, dirty: Da
     """(name) of consumers reached from dirty nodes within each seed's depth, dirty ones left out."""
     limit = F.create_map(*(F.lit(x) for kv in depths.items() for x in kv))
     seeds = dirty.join(nodes, "id").select(F.col("id").alias("seed"), F.col("id").alias("node"), F.lit(0).alias("depth"), F.coalesce(limit[F.col("criticality")], F.lit(0)).alias("most"))
+    rows, small = _small(spark, edges)
+    if small:
+        back: dict = {}
+        for r in rows:
+            back.setdefault(r.v, []).append(r.u)
+        shared = spark.sparkContext.broadcast(back)
+
+        def run(batches):
+            for pdf in batches:
+                hit = set()
+                for s, most in zip(pdf["seed"].tolist(), pdf["most"].tolist(), strict=True):
+                    seen, todo, depth = {s}, [s], 0
+                    while todo and (most == -1 or depth < most):
+                        todo = list({w for v in todo for w in shared.value.get(v, ())} - seen)
+                        seen.update(todo)
+                        depth += 1
+                    hit |= seen
+                yield pd.DataFrame({"id": list(hit)})
+
+        found = seeds.mapInPandas(run, T.StructType([T.StructField("id", seeds.schema["node"].dataType)]))
+        return found.distinct().join(dirty, "id", "left_anti")
     edges = _saved(spark, edges)
     seen = frontier = _saved(spark, seeds)
     rounds = 0
@@ -105,12 +189,49 @@ def containment(claims: DataFrame) -> DataFrame:
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
-    """(id, component, size): strongly connected components of nodes on some cycle, named by their smallest member."""
-    reach = transitive_closure(spark, edges)
-    back = reach.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    mutual = reach.join(back, ["src", "dst"]).groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("component"))
-    size = mutual.groupBy("component").agg(F.count("*").alias("size"))
-    return mutual.join(size, "component").select("id", "component", "size")
+    """(id, component, size): strongly connected components of nodes on some cycle, named by their smallest member.
+
+    Colouring: every node takes the smallest name that reaches it; from each
+    root, whose name is its own, the nodes of its colour that reach it back are
+    its component. What is settled goes, and the rest is coloured anew; rows
+    never exceed nodes and edges.
+    """
+    left = _saved(spark, edges.select("u", "v").where("u <> v").distinct())
+    loops = edges.where("u = v").select(F.col("u").alias("id")).distinct()
+    done = None
+    while not left.isEmpty():
+        nodes = left.select(F.col("u").alias("id")).unionByName(left.select(F.col("v").alias("id"))).distinct()
+        colour = _spread(spark, left, nodes.select("id", F.col("id").alias("c")))
+        # Edges within one colour, walked backwards from the roots.
+        same = _saved(spark, left.join(colour.toDF("u", "a"), "u").join(colour.toDF("v", "b"), "v").where("a = b").select("u", "v", "a"))
+        back, seen = same.select(F.col("v").alias("u"), F.col("u").alias("v")), _saved(spark, colour.where("id = c"))
+        front, rounds = seen, 0
+        while True:
+            new = _saved(spark, front.join(back, front["id"] == back.u).select(F.col("v").alias("id"), "c").distinct().join(seen, "id", "left_anti"))
+            if new.isEmpty():
+                break
+            seen, front, rounds = seen.unionByName(new), new, rounds + 1
+            if rounds % MERGE == 0:
+                seen = _saved(spark, seen)
+        seen = _saved(spark, seen)
+        done = seen if done is None else done.unionByName(seen)
+        gone = seen.select("id")
+        left = _saved(spark, left.join(gone.withColumnRenamed("id", "u"), "u", "left_anti").join(gone.withColumnRenamed("id", "v"), "v", "left_anti").select("u", "v"))
+    out = loops.select("id", F.col("id").alias("component")) if done is None else done.select("id", F.col("c").alias("component"))
+    size = out.groupBy("component").agg(F.count("*").alias("size"))
+    sized = out.join(size, "component").select("id", "component", "size")
+    return sized.join(loops.withColumn("loop", F.lit(True)), "id", "left").where("size > 1 OR loop").select("id", "component", "size")
+
+
+def _spread(spark: SparkSession, edges: DataFrame, colour: DataFrame) -> DataFrame:
+    """(id, c): the smallest c of all nodes that lead to a node, itself included."""
+    colour = _saved(spark, colour)
+    while True:
+        near = edges.join(colour.withColumnRenamed("id", "u"), "u").groupBy(F.col("v").alias("id")).agg(F.min("c").alias("n"))
+        new = _saved(spark, colour.join(near, "id", "left").select("id", F.least("c", "n").alias("c"), (F.col("n") < F.col("c")).alias("moved")))
+        colour = new.select("id", "c")
+        if new.where("moved").isEmpty():
+            return colour
 
 
 def back_edge_cycles(edges: dict[str, list[str]]) -> list[list[str]]:

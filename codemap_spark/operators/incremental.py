@@ -13,9 +13,32 @@ def compared(now: DataFrame, state: DataFrame) -> DataFrame:
     return both.select("path", change.alias("change"))
 
 
-def merged(now: DataFrame, state: DataFrame) -> DataFrame:
-    """The next state: live paths only."""
-    return now.unionByName(state.join(now, "path", "left_semi").join(now, "path", "left_anti"))
+def merged(now: DataFrame, state: DataFrame, live: DataFrame | None = None, owners: DataFrame | None = None) -> DataFrame:
+    """The next state: now's rows, and those of the state that now does not replace, of live paths, under their present owner."""
+    old = state.join(now.select("path"), "path", "left_anti")
+    if live is not None:
+        old = old.join(live.select("path").distinct(), "path", "left_semi")
+    out = now.unionByName(old)
+    if owners is None:
+        return out
+    o = owners.select("path", F.col("owner").alias("subsystem"))
+    return out.drop("subsystem").join(o, "path", "left").select(*now.columns)
+
+
+def dirty(now: DataFrame, state: DataFrame) -> DataFrame:
+    """(path): files whose structure differs from the saved one; new files and cold starts make nothing dirty."""
+    both = now.select("path", F.col("structure_hash").alias("h")).join(state.select("path", F.col("structure_hash").alias("p")), "path")
+    return both.where("NOT h <=> p").select("path")
+
+
+def vanished_owners(state: DataFrame, live: DataFrame) -> DataFrame:
+    """(subsystem): owners of saved paths that are gone; to be asked before the state is pruned."""
+    return state.join(live.select("path"), "path", "left_anti").where("subsystem IS NOT NULL").select("subsystem").distinct()
+
+
+def pruned(state: DataFrame, live: DataFrame) -> DataFrame:
+    """The state without paths that are gone."""
+    return state.join(live.select("path").distinct(), "path", "left_semi")
 
 
 def baseline_diff(current: DataFrame, baseline: DataFrame) -> DataFrame:
@@ -38,8 +61,27 @@ def write_state(state: DataFrame, path: str, version: int = 1) -> None:
 
 def read_state(spark: SparkSession, path: str, schema, subsystem: str | None = None, version: int = 1) -> DataFrame:
     """The saved state, empty where there is none of this version."""
+    from pyspark.errors import AnalysisException
+
+    at = f"{path}/v={version}"
     try:
-        df = spark.read.schema(schema).parquet(f"{path}/v={version}")
-    except Exception:  # noqa: BLE001  a missing or broken state means a cold start
-        return spark.createDataFrame([], schema)
+        df = spark.read.schema(schema).parquet(at)
+    except AnalysisException as e:  # only a missing table is a cold start
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        df = spark.createDataFrame([], schema)
     return df.where(F.col("subsystem") == subsystem) if subsystem is not None else df
+
+
+def migrate(spark: SparkSession, path: str, schema, old: int, new: int) -> bool:
+    """Rewrite a state of an old version under the new one; columns that it lacks are null. False where there is none."""
+    found = read_state(spark, path, schema, version=old)
+    if found.isEmpty():
+        return False
+    write_state(found, path, new)
+    return True
+
+
+def inspect(state: DataFrame) -> DataFrame:
+    """(subsystem, language, n) in total and by either."""
+    return state.groupingSets([("subsystem",), ("language",), ()], "subsystem", "language").agg(F.grouping_id().alias("level"), F.count("*").alias("n"))

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codemap_spark.functions import paths as P
-from codemap_spark.operators import checks, fold, graph, imports, incremental, ownership
+from codemap_spark.operators import calibrate, checks, coverage, discover, fold, graph, imports, incremental, locate, ownership, rawsql
+from codemap_spark.sources import extract
 from codemap_spark.sources import tables as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +23,7 @@ CTE = {
     "node": "node AS (SELECT n_nationkey::BIGINT AS id, n_name AS name, r_name AS namespace, ['service','platform','connector','library'][n_nationkey % 4 + 1] AS role, ['core','connector','leaf'][n_nationkey % 3 + 1] AS criticality FROM nation JOIN region ON n_regionkey = r_regionkey)",
     "edge": "edge AS (SELECT DISTINCT c_nationkey::BIGINT AS u, s_nationkey::BIGINT AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey <> s_nationkey AND (c_nationkey * 7 + s_nationkey * 13) % 25 < 1)",
     "edge2": "edge2 AS (SELECT DISTINCT c_nationkey::BIGINT AS u, s_nationkey::BIGINT AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey <> s_nationkey AND (c_nationkey * 7 + s_nationkey * 13) % 25 < 2)",
+    "edges": "edges AS (SELECT DISTINCT c_nationkey::BIGINT AS u, s_nationkey::BIGINT AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey <> s_nationkey)",
     "declared": "declared AS (SELECT DISTINCT l_suppkey AS subsystem, l_partkey AS name FROM lineitem WHERE l_linestatus = 'O')",
     "actual": "actual AS (SELECT DISTINCT l_suppkey AS subsystem, l_partkey AS name FROM lineitem WHERE l_linestatus = 'F')",
     "consumed": "consumed AS (SELECT DISTINCT o_custkey AS consumer, l_suppkey AS provider, l_partkey AS name FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'R' OR l_shipdate >= TIMESTAMP '1998-01-01')",
@@ -127,9 +129,9 @@ def fan_in_out(spark, sf_dir):
     return graph.degrees(S.nodes(spark, sf_dir), S.edges(spark, sf_dir, 2))
 
 
-@query("node edge2", "SELECT id, fan_in, fan_out FROM (SELECT id, (SELECT count(*) FROM edge2 WHERE v = id) AS fan_in, (SELECT count(*) FROM edge2 WHERE u = id) AS fan_out, (SELECT count(*) FROM node) AS n FROM node) WHERE n >= 8 AND fan_in * 10 >= n - 1 AND fan_out * 10 >= n - 1")
+@query("node edges", "SELECT id, fan_in, fan_out FROM (SELECT id, (SELECT count(*) FROM edges WHERE v = id) AS fan_in, (SELECT count(*) FROM edges WHERE u = id) AS fan_out, (SELECT count(*) FROM node) AS n FROM node) WHERE n >= 8 AND fan_in * 2 >= n - 1 AND fan_out * 2 >= n - 1")
 def composition_root(spark, sf_dir):
-    return graph.composition_roots(S.nodes(spark, sf_dir), S.edges(spark, sf_dir, 2), share_tenths=1)
+    return graph.composition_roots(S.nodes(spark, sf_dir), S.edges(spark, sf_dir, 25))
 
 
 @query("node edge2", "SELECT id, CASE WHEN i > 0 AND o = 0 THEN 'library' WHEN i > 0 THEN 'platform' ELSE 'service' END AS role, CASE WHEN i >= 3 THEN 'core' WHEN i >= 1 THEN 'connector' ELSE 'leaf' END AS criticality FROM (SELECT id, (SELECT count(*) FROM edge2 WHERE v = id) AS i, (SELECT count(*) FROM edge2 WHERE u = id) AS o FROM node)")
@@ -396,15 +398,24 @@ def content_hash(spark, sf_dir):
     return hashed(spark, sf_dir)
 
 
-@query("", "SELECT l_suppkey AS subsystem, sha256(string_agg(s, chr(10) ORDER BY s)) AS hash FROM (SELECT DISTINCT l_suppkey, 'sym:' || l_linestatus || ':' || l_partkey AS s FROM lineitem) GROUP BY 1")
+@query("", """SELECT path, sha256(array_to_string(list_concat(list_sort(list(r) FILTER (r LIKE 'sym:%')), list_sort(list(DISTINCT r) FILTER (r LIKE 'imp:%'))), chr(10))) AS structure_hash FROM (
+  SELECT l_suppkey::VARCHAR AS path, 'sym:' || l_linestatus || ':' || l_partkey || ':{}' AS r FROM lineitem UNION ALL SELECT l_suppkey::VARCHAR, 'imp:' || l_returnflag FROM lineitem) GROUP BY 1""")
 def structure_hash(spark, sf_dir):
     li = S.table(spark, sf_dir, "lineitem")
-    return li.groupBy(F.col("l_suppkey").alias("subsystem")).agg(F.sha2(F.array_join(F.array_sort(F.collect_set(F.concat(F.lit("sym:"), "l_linestatus", F.lit(":"), F.col("l_partkey").cast("string")))), "\n"), 256).alias("hash"))
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("op", "string"), ("tbl", "string"), ("col", "string"), ("columns", "array<string>"), ("target", "string"))]
+    sym = li.select(F.col("l_suppkey").cast("string").alias("path"), F.lit("symbol").alias("what"), F.col("l_linestatus").alias("kind"), F.col("l_partkey").cast("string").alias("name"), *none)
+    imp = li.select(F.col("l_suppkey").cast("string").alias("path"), F.lit("import").alias("what"), F.lit(None).cast("string").alias("kind"), F.col("l_returnflag").alias("name"), *none)
+    return extract.structure_hash(sym.unionByName(imp))
 
 
-@query("", "SELECT doc_id, contains(lower(substr(text, 1, 4096)), 'license') OR contains(lower(substr(text, 1, 4096)), 'the and') AS generated FROM documents")
+_SEVEN = " OR ".join(f"contains(t, '{m}')" for m in P.GENERATED)
+
+
+@query("", f"SELECT doc_id, {_SEVEN} AS generated, contains(t, 'license') OR contains(t, 'the and') AS marked FROM (SELECT doc_id, lower(substr(text || CASE doc_id % 5 WHEN 0 THEN ' @Generated' WHEN 1 THEN repeat('x', 4096) || ' do not edit' ELSE '' END, 1, 4096)) AS t FROM documents)")
 def generated_marker(spark, sf_dir):
-    return S.table(spark, sf_dir, "documents").select("doc_id", P.is_generated(F.col("text"), ("license", "the and")).alias("generated"))
+    tail = F.when(F.col("doc_id") % 5 == 0, " @Generated").when(F.col("doc_id") % 5 == 1, F.concat(F.repeat(F.lit("x"), 4096), F.lit(" do not edit"))).otherwise("")
+    t = S.table(spark, sf_dir, "documents").select("doc_id", F.concat("text", tail).alias("t"))
+    return t.select("doc_id", P.is_generated(F.col("t")).alias("generated"), P.is_generated(F.col("t"), ("license", "the and")).alias("marked"))
 
 
 @query("", "SELECT tbl, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, lower(unnest(regexp_extract_all(text, '(?i)\\b(?:from|join|into|update)\\s+([A-Za-z_][A-Za-z0-9_.]*)', 1))) AS tbl FROM documents) GROUP BY 1")
@@ -456,18 +467,13 @@ def policy_apply(spark, sf_dir):
     return judged(spark, sf_dir)
 
 
-@query("judged", "SELECT code, severity, suppressed, count(*) AS n FROM judged GROUP BY 1, 2, 3")
+@query("judged", "SELECT code, severity, sum(CASE WHEN code = 'E_ORPHAN_EXPORT' THEN length(message) ELSE 1 END)::BIGINT AS n FROM judged GROUP BY 1, 2")
 def issue_tally(spark, sf_dir):
-    return judged(spark, sf_dir).groupBy("code", "severity", "suppressed").agg(F.count("*").alias("n"))
-
-
-@query("judged", "SELECT code, subsystem, message, severity, suppressed, row_number() OVER (ORDER BY CASE severity WHEN 'error' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END, code, coalesce(subsystem, ''), message) AS rank FROM judged WHERE subsystem IN ('3', '5', '7', '11')")
-def report_order(spark, sf_dir):
-    return checks.ranked(judged(spark, sf_dir).where("subsystem IN ('3', '5', '7', '11')"))
+    return checks.tally(judged(spark, sf_dir).withColumn("count", F.when(F.col("code") == "E_ORPHAN_EXPORT", F.length("message"))))
 
 
 @query("judged", "SELECT code, subsystem, message, severity, suppressed, row_number() OVER (ORDER BY CASE severity WHEN 'error' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END, code, coalesce(subsystem, ''), message) AS rank FROM judged")
-def report_order_all(spark, sf_dir):
+def report_order(spark, sf_dir):
     return checks.ranked(judged(spark, sf_dir))
 
 
@@ -502,3 +508,352 @@ def minimal_paths(spark, sf_dir):
     p = S.claims(spark, sf_dir).select(F.col("prefix").alias("path")).distinct()
     above = p.select("path", F.explode(P.prefixes(F.col("path"))).alias("up")).where("path <> up").join(p.select(F.col("path").alias("up")), "up")
     return p.join(above.select("path").distinct(), "path", "left_anti")
+
+
+# --- calibration -----------------------------------------------------------------------------------------------------
+
+
+def expose_changes(spark: SparkSession, sf_dir: str, accept: bool = False) -> DataFrame:
+    """Every seventh interface is private, every eleventh symbol generated; every fifth subsystem has files without an extractor."""
+    d = S.surface(spark, sf_dir, "O").withColumn("internal", F.col("name") % 7 == 0)
+    a = S.surface(spark, sf_dir, "F").select("*", F.lit("class").alias("kind"), (F.col("name") % 11 == 0).alias("generated"))
+    return calibrate.exposes(d, a, consumed(spark, sf_dir), d.select("subsystem").where("subsystem % 5 = 0"), accept)
+
+
+CTE["review"] = "review AS (SELECT d.subsystem, d.name, CASE WHEN d.subsystem % 5 = 0 THEN 'unsupported_language' WHEN (d.subsystem, d.name) IN (SELECT provider, name FROM consumed) THEN 'consumed_contract' END AS reason FROM declared d WHERE d.name % 7 <> 0 AND (d.subsystem, d.name) NOT IN (SELECT subsystem, name FROM actual))"
+CTE["expose_change"] = "expose_change AS (SELECT subsystem, 'add_expose' AS change, name::VARCHAR AS target, 'class' AS detail FROM (SELECT * FROM actual EXCEPT SELECT * FROM declared) WHERE name % 11 <> 0 UNION ALL SELECT subsystem, 'remove_expose', name::VARCHAR, NULL FROM review WHERE reason IS NULL UNION ALL SELECT subsystem, 'needs_review', name::VARCHAR, reason FROM review WHERE reason IS NOT NULL)"
+NEEDS["review"] = ["declared", "actual", "consumed"]
+NEEDS["expose_change"] = ["declared", "actual", "consumed", "review"]
+
+
+@query("expose_change", "SELECT * FROM expose_change")
+def calibrate_exposes(spark, sf_dir):
+    return expose_changes(spark, sf_dir)
+
+
+@query("review", "SELECT subsystem, count(*) FILTER (reason IS DISTINCT FROM 'unsupported_language') AS removed, count(*) FILTER (reason = 'unsupported_language') AS held FROM review GROUP BY 1")
+def calibrate_accept(spark, sf_dir):
+    gone = expose_changes(spark, sf_dir, accept=True).where("change <> 'add_expose'")
+    return gone.groupBy("subsystem").agg(F.count_if(F.col("change") == "remove_expose").alias("removed"), F.count_if(F.col("change") == "needs_review").alias("held"))
+
+
+@query("expose_change", "SELECT subsystem || chr(9) || change || chr(9) || target AS key FROM expose_change WHERE change <> 'needs_review'")
+def calibrate_drift_keys(spark, sf_dir):
+    return calibrate.drift_keys(expose_changes(spark, sf_dir))
+
+
+@query("expose_change", "SELECT change, count(*) AS n, count(DISTINCT subsystem) AS subsystems FROM expose_change GROUP BY 1")
+def calibrate_summary(spark, sf_dir):
+    return calibrate.summary(expose_changes(spark, sf_dir))
+
+
+@query("expose_change", "SELECT subsystem, true AS any, bool_or(change <> 'needs_review') AS applicable FROM expose_change GROUP BY 1")
+def calibrate_changed(spark, sf_dir):
+    return calibrate.changed(expose_changes(spark, sf_dir))
+
+
+@query("expose_change", """, k AS (SELECT subsystem || chr(9) || change || chr(9) || target AS key, target::BIGINT AS n FROM expose_change WHERE change <> 'needs_review'), b AS (SELECT key FROM k WHERE n % 3 <> 0 UNION ALL SELECT '0' || chr(9) || 'add_expose' || chr(9) || 'x' || n_nationkey FROM nation)
+SELECT key, 'new' AS status FROM (SELECT key FROM k EXCEPT SELECT key FROM b) UNION ALL SELECT key, 'resolved' FROM (SELECT key FROM b EXCEPT SELECT key FROM k)""")
+def calibrate_drift_check(spark, sf_dir):
+    k = calibrate.drift_keys(expose_changes(spark, sf_dir))
+    old = S.table(spark, sf_dir, "nation").select(F.concat(F.lit("0\tadd_expose\tx"), F.col("n_nationkey").cast("string")).alias("key"))
+    base = k.where(F.split("key", "\t")[2].cast("long") % 3 != 0).unionByName(old)
+    return calibrate.drift_check(k, base)
+
+
+def consume_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Declared edges are those of returned lines, some without names; used ones those of late lines; suppliers are the providers that exist, one in nine is not."""
+    li, o = S.table(spark, sf_dir, "lineitem"), S.table(spark, sf_dir, "orders")
+    j = li.join(o, li.l_orderkey == o.o_orderkey).select((F.col("o_custkey") % 97).alias("consumer"), F.col("l_suppkey").alias("provider"), F.col("l_partkey").alias("name"), "l_returnflag", "l_shipdate")
+    declared = j.where("l_returnflag = 'R'").select("consumer", "provider", F.when(F.col("provider") % 4 != 0, F.col("name")).alias("name")).distinct()
+    used = j.where("l_shipdate >= TIMESTAMP '1998-01-01'").select("consumer", "provider", "name").distinct()
+    known = S.table(spark, sf_dir, "supplier").where("s_suppkey % 9 <> 4").select(F.col("s_suppkey").alias("subsystem"))
+    exposed = S.surface(spark, sf_dir, "O").select(F.col("subsystem").alias("provider"), "name")
+    return declared, used, exposed, known
+
+
+CTE["line"] = "line AS (SELECT o_custkey % 97 AS consumer, l_suppkey AS provider, l_partkey AS name, l_returnflag, l_shipdate FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
+CTE["dec"] = "dec AS (SELECT DISTINCT consumer, provider, CASE WHEN provider % 4 <> 0 THEN name END AS name FROM line WHERE l_returnflag = 'R')"
+CTE["known"] = "known AS (SELECT s_suppkey AS provider FROM supplier WHERE s_suppkey % 9 <> 4)"
+CTE["use"] = "use AS (SELECT DISTINCT consumer, provider, name FROM line WHERE l_shipdate >= TIMESTAMP '1998-01-01' AND provider IN (SELECT provider FROM known))"
+CTE["usen"] = "usen AS (SELECT * FROM use WHERE (provider, name) IN (SELECT subsystem, name FROM declared))"
+CTE["stale"] = "stale AS (SELECT * FROM dec WHERE name IS NOT NULL AND provider IN (SELECT provider FROM known) AND (provider, name) NOT IN (SELECT subsystem, name FROM declared))"
+for _k, _v in {"dec": ["line"], "use": ["line", "known"], "usen": ["line", "known", "use", "declared"], "stale": ["line", "dec", "known", "declared"]}.items():
+    NEEDS[_k] = _v
+
+
+@query("usen stale", """, e AS (SELECT consumer, provider, bool_or(name IS NOT NULL) AS tracked FROM dec GROUP BY 1, 2), o AS (SELECT consumer, name, min(provider) AS owner FROM usen GROUP BY 1, 2)
+SELECT consumer AS subsystem, 'add_consume' AS change, provider::VARCHAR AS target, NULL::VARCHAR AS detail FROM (SELECT consumer, provider FROM use EXCEPT SELECT consumer, provider FROM e)
+UNION ALL SELECT consumer, 'add_consume_interface', provider::VARCHAR, name::VARCHAR FROM usen u WHERE EXISTS (SELECT 1 FROM e WHERE e.consumer = u.consumer AND e.provider = u.provider AND tracked) AND NOT EXISTS (SELECT 1 FROM dec d WHERE d.consumer = u.consumer AND d.provider = u.provider AND d.name = u.name)
+UNION ALL SELECT consumer, 'unknown_consume', provider::VARCHAR, NULL FROM e WHERE provider NOT IN (SELECT provider FROM known)
+UNION ALL SELECT consumer, 'remove_consume_edge', provider::VARCHAR, NULL FROM e WHERE provider IN (SELECT provider FROM known) AND NOT EXISTS (SELECT 1 FROM use u WHERE u.consumer = e.consumer AND u.provider = e.provider)
+UNION ALL SELECT consumer, 'remove_consume_interface', provider::VARCHAR, name::VARCHAR FROM stale s WHERE EXISTS (SELECT 1 FROM use u WHERE u.consumer = s.consumer AND u.provider = s.provider)
+UNION ALL SELECT s.consumer, 'reattribute_consume', owner::VARCHAR, s.provider || ':' || s.name FROM stale s JOIN o USING (consumer, name) WHERE owner <> s.provider""")
+def calibrate_consumes(spark, sf_dir):
+    return calibrate.consumes(*consume_tables(spark, sf_dir))
+
+
+@query("usen dec", """, e AS (SELECT DISTINCT consumer, provider FROM dec)
+SELECT consumer AS subsystem, 'coarsen_consume' AS change, provider::VARCHAR AS target, string_agg(name::VARCHAR, ',' ORDER BY name) AS detail FROM dec WHERE name IS NOT NULL GROUP BY 1, 3
+UNION ALL SELECT u.consumer, 'add_consume', u.provider::VARCHAR, coalesce(string_agg(n.name::VARCHAR, ',' ORDER BY n.name), '') FROM (SELECT consumer, provider FROM use EXCEPT SELECT consumer, provider FROM e) u LEFT JOIN usen n USING (consumer, provider) GROUP BY 1, 3""")
+def calibrate_coarsen_and_track(spark, sf_dir):
+    return calibrate.consumes(*consume_tables(spark, sf_dir), track=True, coarsen=True).where("change IN ('coarsen_consume', 'add_consume')")
+
+
+@query("", "SELECT subsystem, name, kind, path FROM (SELECT source AS subsystem, n_chars % 50 AS name, lang AS kind, lpad(doc_id::VARCHAR, 9, '0') AS path, row_number() OVER (PARTITION BY source, n_chars % 50 ORDER BY doc_id) AS r FROM documents) WHERE r = 1")
+def first_declaration(spark, sf_dir):
+    d = S.table(spark, sf_dir, "documents")
+    return calibrate.first_declarations(d.select(F.col("source").alias("subsystem"), (F.col("n_chars") % 50).alias("name"), F.lpad(F.col("doc_id").cast("string"), 9, "0").alias("path"), F.lit(0).alias("ord"), F.col("lang").alias("kind")))
+
+
+# --- coverage ----------------------------------------------------------------------------------------------------------
+
+
+def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files with ignore rules, tests and build configurations among them; Spanish has no extractor, files of ten digits no source."""
+    d = S.files(spark, sf_dir)
+    name = F.when(F.col("doc_id") % 17 == 1, "config").when(F.col("doc_id") % 19 == 2, F.concat(F.lit("test_"), F.col("doc_id").cast("string"))).otherwise(F.col("doc_id").cast("string"))
+    path = F.concat_ws("/", "source", F.col("doc_id").cast("string"), F.concat_ws(".", name, "language"))
+    return d.select(path.alias("path"), F.when(F.col("doc_id") % 23 != 3, F.col("language")).alias("language"), (F.col("doc_id") % 13 == 4).alias("ignored"), (F.col("doc_id") % 29 == 5).alias("gitignored"))
+
+
+CTE["tree"] = "tree AS (SELECT source || '/' || doc_id || '/' || CASE WHEN doc_id % 17 = 1 THEN 'config' WHEN doc_id % 19 = 2 THEN 'test_' || doc_id ELSE doc_id::VARCHAR END || '.' || lang AS path, CASE WHEN doc_id % 23 <> 3 THEN lang END AS language, doc_id, regexp_extract(source, '(\\d+)', 1)::INT AS n FROM documents)"
+CTE["class"] = "class AS (SELECT path, language, doc_id, CASE WHEN doc_id % 13 = 4 THEN 'ignored' WHEN doc_id % 29 = 5 THEN 'gitignored' WHEN doc_id % 17 <> 1 AND doc_id % 19 = 2 THEN 'test_file' WHEN language IS NULL THEN 'non_source' WHEN language IN ('de','en','fr') AND n % 3 = 0 THEN 'mapped' WHEN language IN ('de','en','fr') AND doc_id % 17 = 1 THEN 'algorithm_miss' WHEN language IN ('de','en','fr') THEN 'user_decision' WHEN n % 3 = 0 THEN 'declared' ELSE 'dark' END AS class, n FROM tree)"
+NEEDS["class"] = ["tree"]
+
+
+def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = tree(spark, sf_dir)
+    own = t.where(F.regexp_extract("path", r"^\D*(\d+)", 1).cast("int") % 3 == 0).select("path", F.lit("s").alias("owner"))
+    return coverage.classify(t, own, SUPPORTED)
+
+
+@query("class", "SELECT path, class FROM class")
+def coverage_classes(spark, sf_dir):
+    return classified(spark, sf_dir).select("path", "class")
+
+
+@query("class", """, c AS (SELECT count(*) FILTER (class = 'mapped') AS mapped, count(*) FILTER (class = 'user_decision') AS user_decision, count(*) FILTER (class = 'algorithm_miss') AS algorithm_miss, count(*) FILTER (class = 'declared') AS declared, count(*) FILTER (class = 'dark') AS dark, count(*) FILTER (class = 'ignored') AS ignored, count(*) FILTER (class = 'gitignored') AS gitignored, count(*) FILTER (class = 'test_file') AS test_file, count(*) FILTER (class = 'non_source') AS non_source FROM class), s AS (SELECT mapped + user_decision + algorithm_miss AS supported, * FROM c)
+SELECT *, (CASE WHEN supported = 0 THEN 1000 WHEN mapped < supported THEN least(floor(mapped * 1000 / supported + 0.5), 999) ELSE 1000 END)::BIGINT AS permille, user_decision + algorithm_miss + dark > 0 AS gap FROM s""")
+def coverage_summary(spark, sf_dir):
+    return coverage.has_gap(coverage.mapping(classified(spark, sf_dir)))
+
+
+@query("class", ", l AS (SELECT class, count(*) AS n, list(DISTINCT path ORDER BY path) AS s FROM class WHERE class IN ('user_decision', 'algorithm_miss', 'dark') GROUP BY 1) SELECT class, n, array_to_string(s[1:10], ', ') || CASE WHEN len(s) > 10 THEN ', +' || (len(s) - 10) || ' more' ELSE '' END AS sample FROM l")
+def coverage_diagnose(spark, sf_dir):
+    return coverage.samples(classified(spark, sf_dir))
+
+
+@query("class", "SELECT CASE WHEN m > 0 THEN 'fix-coverage --auto' || CASE WHEN u > 0 THEN ', then assign ' || u || ' files' ELSE '' END WHEN u > 0 THEN 'assign ' || u || ' files' WHEN d > 0 THEN 'declare ' || d || ' files' ELSE 'complete' END AS next_step FROM (SELECT count(*) FILTER (class = 'algorithm_miss') AS m, count(*) FILTER (class = 'user_decision') AS u, count(*) FILTER (class = 'dark') AS d FROM class)")
+def coverage_next_step(spark, sf_dir):
+    return coverage.next_step(coverage.mapping(classified(spark, sf_dir)))
+
+
+@query("class", """, asked AS (SELECT DISTINCT CASE doc_id % 4 WHEN 1 THEN '/abs/' || path WHEN 2 THEN 'x/../../' || path WHEN 3 THEN path || '.gone' ELSE path END AS path FROM class)
+SELECT a.path, CASE WHEN a.path LIKE '/%' OR a.path LIKE 'x/../%' THEN 'outside_project' WHEN class IS NULL THEN 'not_found' ELSE MAP {'ignored':'excluded_by_design','gitignored':'excluded_by_design','test_file':'excluded_test','non_source':'non_source','mapped':'owned','declared':'unsupported_declared','dark':'unsupported_declarable','algorithm_miss':'algorithm_miss','user_decision':'needs_your_decision'}[class] END AS status, CASE WHEN class IN ('mapped', 'declared') THEN 's' END AS owner FROM asked a LEFT JOIN class USING (path)""")
+def coverage_why(spark, sf_dir):
+    c = classified(spark, sf_dir)
+    d = F.regexp_extract("path", r"/(\d+)/", 1).cast("long") % 4
+    asked = c.select(F.when(d == 1, F.concat(F.lit("/abs/"), "path")).when(d == 2, F.concat(F.lit("x/../../"), "path")).when(d == 3, F.concat("path", F.lit(".gone"))).otherwise(F.col("path")).alias("path"))
+    return coverage.explain(c, asked).select("path", "status", "owner")
+
+
+@query("class", "SELECT path FROM class WHERE class = 'algorithm_miss' AND n % 2 = 0")
+def coverage_auto_rules(spark, sf_dir):
+    c = classified(spark, sf_dir)
+    return coverage.auto_rules(c, c.where(F.regexp_extract("path", r"^\D*(\d+)", 1).cast("int") % 2 != 0).select("path"))
+
+
+@query("class", "SELECT language, count(*) AS n FROM class WHERE class IN ('declared', 'dark') GROUP BY 1")
+def coverage_dark_languages(spark, sf_dir):
+    return coverage.by_language(classified(spark, sf_dir))
+
+
+@query("claim page_file", """, d AS (SELECT DISTINCT path FROM page_file), n AS (SELECT DISTINCT lang AS owner FROM documents),
+folder AS (SELECT path, min(owner) AS o FROM (SELECT path, unnest(string_split(path, '/')[:-2]) AS owner FROM d) JOIN n USING (owner) GROUP BY 1)
+SELECT count(*) AS total, count(folder.o) AS linked, count(*) FILTER (folder.o IS NULL) AS unlinked FROM d LEFT JOIN folder USING (path)""")
+def coverage_linkage(spark, sf_dir):
+    return coverage.linkage(doc_owner_linkage(spark, sf_dir))
+
+
+# --- looking things up ---------------------------------------------------------------------------------------------------
+
+
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as symbols: a brand is a subsystem, a type its file."""
+    p = S.table(spark, sf_dir, "part")
+    return p.select(F.col("p_name").alias("name"), F.col("p_size").alias("line"), F.lower("p_type").alias("kind"), F.col("p_brand").alias("subsystem"), F.concat_ws("/", "p_brand", "p_type").alias("path"), F.col("p_partkey").alias("id"))
+
+
+@query("", "SELECT DISTINCT p_name AS name, p_size AS line, lower(p_type) AS kind, p_brand AS subsystem, p_name LIKE '%widget%' AS exposed FROM part WHERE p_brand || '/' || p_type = (SELECT min(p_brand || '/' || p_type) FROM part)")
+def where_path(spark, sf_dir):
+    s = parts(spark, sf_dir)
+    first = s.agg(F.min("path")).first()[0]
+    return locate.by_path(s, s.where("name LIKE '%widget%'").select("subsystem", "name"), first or "").distinct()
+
+
+@query("", "SELECT name, subsystem FROM (SELECT DISTINCT p_name AS name, p_brand AS subsystem FROM part WHERE contains(lower(p_name), 'bolt') ORDER BY 1, 2 LIMIT 8)")
+def where_near_symbols(spark, sf_dir):
+    return locate.near_symbols(parts(spark, sf_dir), "BOLT")
+
+
+@query("node", "SELECT name AS subsystem, CASE WHEN contains(lower(name), 'an') THEN 'name' ELSE 'description' END AS matched_on FROM node WHERE contains(lower(name), 'an') OR contains(lower(namespace), 'an') ORDER BY name LIMIT 6")
+def where_near_subsystems(spark, sf_dir):
+    return locate.near_subsystems(S.nodes(spark, sf_dir).select(F.col("name").alias("subsystem"), F.col("namespace").alias("description")), "AN")
+
+
+@query("edge reach consumed", """, c AS (SELECT DISTINCT c_nationkey::BIGINT AS id FROM consumed JOIN customer ON consumer = c_custkey WHERE name = (SELECT min(name) FROM consumed))
+SELECT id AS consumer, true AS direct FROM c UNION ALL SELECT DISTINCT src, false FROM reach WHERE dst IN (SELECT id FROM c) AND src NOT IN (SELECT id FROM c)""")
+def impact_closure(spark, sf_dir):
+    used = consumed(spark, sf_dir).join(S.table(spark, sf_dir, "customer"), F.col("consumer") == F.col("c_custkey")).select(F.col("c_nationkey").cast("long").alias("consumer"), "name")
+    least = consumed(spark, sf_dir).agg(F.min("name")).first()[0]
+    return locate.interface_impact(spark, used, S.edges(spark, sf_dir), least)
+
+
+@query("", "SELECT conv_id, turn, regexp_matches(lower(t), 'architecture|where (is|are)|what (uses|breaks)') AS asks FROM (SELECT conv_id, turn, text || CASE turn % 4 WHEN 0 THEN ' Where is it?' WHEN 1 THEN ' the architecture' WHEN 2 THEN ' What uses it' ELSE '' END AS t FROM conversations)")
+def prompt_shapes(spark, sf_dir):
+    tail = F.element_at(F.array(F.lit(" Where is it?"), F.lit(" the architecture"), F.lit(" What uses it"), F.lit("")), (F.col("turn") % 4 + 1).cast("int"))
+    return S.table(spark, sf_dir, "conversations").select("conv_id", "turn", locate.is_architectural(F.concat("text", tail)).alias("asks"))
+
+
+@query("", "SELECT DISTINCT conv_id * 1000 + turn AS id FROM (SELECT conv_id, turn, unnest(regexp_extract_all(lower(text), '([a-z_][a-z0-9_]{2,})', 1)) AS w FROM conversations) WHERE w IN (SELECT DISTINCT lower(split_part(p_name, ' ', 1)) FROM part UNION SELECT 'the') OR w IN (SELECT lower(n_name) FROM nation)")
+def prompt_targets(spark, sf_dir):
+    c = S.table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    shown = S.table(spark, sf_dir, "part").select(F.split("p_name", " ")[0].alias("name")).unionByName(c.limit(1).select(F.lit("the").alias("name")))
+    return locate.covered_targets(c, shown, S.nodes(spark, sf_dir).select(F.col("name").alias("subsystem")))
+
+
+@query("", "SELECT user_id, event_type, ts, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS r FROM events) WHERE r = 1")
+def session_markers(spark, sf_dir):
+    return locate.once(S.table(spark, sf_dir, "events"), ["user_id", "event_type"], ["ts", "event_id"])
+
+
+@query("edge edge2", "SELECT u AS consumer, v AS provider, 1::BIGINT AS n_files FROM edge2 WHERE (u, v) NOT IN (SELECT u, v FROM edge)")
+def impact_undeclared_files(spark, sf_dir):
+    used = S.edges(spark, sf_dir, 2).select(F.col("u").alias("consumer"), F.col("v").alias("provider"), F.concat_ws("/", F.col("u").cast("string"), F.col("v").cast("string")).alias("path"))
+    return locate.undeclared(used, S.edges(spark, sf_dir).toDF("consumer", "provider"))
+
+
+# --- discovery -----------------------------------------------------------------------------------------------------------
+
+
+@query("file", ", c AS (SELECT CASE WHEN n % 6 = 0 THEN 'sixth' ELSE source || '/' || language END AS candidate, count(*) AS n FROM (SELECT *, regexp_extract(source, '(\\d+)', 1)::INT AS n FROM file) GROUP BY 1) SELECT candidate, n, CASE WHEN n >= 5 THEN 'high' WHEN n >= 3 THEN 'medium' ELSE 'low' END AS score, n >= 3 OR candidate = 'sixth' AS kept FROM c")
+def discover_scored(spark, sf_dir):
+    f = S.files(spark, sf_dir).select("path", "language")
+    merges = f.select(F.split("path", "/")[0].alias("prefix")).distinct().where(F.regexp_extract("prefix", r"(\d+)", 1).cast("int") % 6 == 0).select(F.lit(0).alias("ord"), F.lit("sixth").alias("name"), "prefix")
+    return discover.scored(discover.grouped(f, merges), ["sixth"])
+
+
+@query("edge2 node", "SELECT u, v FROM edge2 WHERE u % 4 <> 1 AND v % 4 <> 1")
+def discover_edges(spark, sf_dir):
+    e = S.edges(spark, sf_dir, 2)
+    return discover.edges(e.toDF("consumer", "provider"), S.nodes(spark, sf_dir).where("id % 4 <> 1").select(F.col("id").alias("candidate")))
+
+
+@query("node edge2", "SELECT id, CASE WHEN i >= 3 THEN 'library' WHEN o > 0 AND i = 0 THEN 'service' WHEN o > 0 THEN 'connector' ELSE 'library' END AS role, CASE WHEN i >= 3 THEN 'core' WHEN i >= 1 THEN 'connector' ELSE 'leaf' END AS criticality FROM (SELECT id, (SELECT count(*) FROM edge2 WHERE v = id) AS i, (SELECT count(*) FROM edge2 WHERE u = id) AS o FROM node)")
+def discover_roles(spark, sf_dir):
+    return discover.roles(graph.degrees(S.nodes(spark, sf_dir), S.edges(spark, sf_dir, 2)))
+
+
+@query("", """SELECT candidate, name, kind, path FROM (SELECT source AS candidate, CASE WHEN doc_id % 5 = 0 THEN 'test_' ELSE 's' END || n_chars % 40 AS name, CASE WHEN doc_id % 3 = 0 THEN 'unknown' ELSE 'class' END AS kind, p AS path, row_number() OVER (PARTITION BY source, name ORDER BY doc_id % 3 = 0, p) AS r
+FROM (SELECT *, CASE doc_id % 7 WHEN 0 THEN 'tests/' WHEN 1 THEN 'app/' ELSE 'lib/' END || doc_id || CASE WHEN doc_id % 7 = 1 THEN '/page.tsx' ELSE '/x.ts' END AS p FROM documents)
+WHERE doc_id % 11 <> 0 AND doc_id % 13 <> 0 AND doc_id % 7 <> 1 AND NOT (doc_id % 7 = 0 AND doc_id % 5 = 0)) WHERE r = 1""")
+def discover_surface(spark, sf_dir):
+    d, i = S.table(spark, sf_dir, "documents"), F.col("doc_id")
+    path = F.concat(F.when(i % 7 == 0, "tests/").when(i % 7 == 1, "app/").otherwise("lib/"), i.cast("string"), F.when(i % 7 == 1, "/page.tsx").otherwise("/x.ts"))
+    name = F.concat(F.when(i % 5 == 0, "test_").otherwise("s"), (F.col("n_chars") % 40).cast("string"))
+    return discover.surface(d.select(F.col("source").alias("candidate"), path.alias("path"), F.lit(0).alias("ord"), name.alias("name"), F.when(i % 3 == 0, "unknown").otherwise("class").alias("kind"), (i % 11 != 0).alias("exported"), (i % 13 == 0).alias("generated")))
+
+
+# --- imports, texts and state ------------------------------------------------------------------------------------------------
+
+
+@query("page_import", """, st AS (SELECT regexp_replace(path, '([^/])\\.[^./]+$', '\\1') AS stem, min(path) AS path FROM page_file GROUP BY 1), pp AS (SELECT stem, string_split(stem, '/') AS p FROM st), suf AS (SELECT array_to_string(p[k:], '/') AS stem, min(stem) AS full FROM pp, unnest(range(1, len(p) + 1)) u(k) GROUP BY 1),
+c AS (SELECT page_id, ord, 0 AS c, module || '/none' AS stem FROM page_import UNION ALL SELECT page_id, ord, 1, 'de/' || split_part(module, '/', 2) FROM page_import UNION ALL SELECT page_id, ord, 2, module FROM page_import),
+h AS (SELECT page_id, ord, c * 4 AS prio, st.path FROM c JOIN st USING (stem) UNION ALL SELECT page_id, ord, c * 4 + 3, st.path FROM c JOIN suf USING (stem) JOIN st ON st.stem = suf.full)
+SELECT page_id, ord, arg_min(path, prio) AS target FROM h GROUP BY 1, 2""")
+def import_candidates(spark, sf_dir):
+    m = F.col("module")
+    i = S.page_imports(spark, sf_dir).withColumn("stems", F.array(F.concat(m, F.lit("/none")), F.concat(F.lit("de/"), F.split(m, "/")[1]), m))
+    return imports.resolve(S.page_files(spark, sf_dir).select("path").distinct(), i, ["page_id", "ord"])
+
+
+@query("page_import", "SELECT page_id, ord, starts_with(module, '.') OR split_part(replace(module, '.', '/'), '/', 1) IN ('de', 'en') AS is_local FROM (SELECT page_id, ord, CASE ord + page_id % 3 WHEN 0 THEN '.' || module WHEN 1 THEN 'os.path' ELSE module END AS module FROM page_import)")
+def local_looking(spark, sf_dir):
+    k = F.col("ord") + F.col("page_id") % 3
+    module = F.when(k == 0, F.concat(F.lit("."), "module")).when(k == 1, "os.path").otherwise(F.col("module"))
+    return S.page_imports(spark, sf_dir).select("page_id", "ord", P.is_local_looking(module, F.array(F.lit("de"), F.lit("en"))).alias("is_local"))
+
+
+@query("", """, r AS (SELECT DISTINCT path, tbl, via FROM (SELECT path, unnest(regexp_extract_all(t, '(?i)\\b(?:from|join|into|update|delete\\s+from)\\s+["''`\\[]?([A-Za-z_][A-Za-z0-9_.]*)', 0)) AS m FROM (SELECT source || '/' || doc_id AS path, 'select * from ' || lang || '.t' || doc_id % 30 || ' join u' || doc_id % 7 || '; DELETE  FROM v' || doc_id % 5 || '; insert into w' || doc_id % 3 AS t FROM documents))
+, LATERAL (SELECT string_split(regexp_extract(m, '([A-Za-z_][A-Za-z0-9_.]*)$', 1), '.')[-1] AS tbl, CASE WHEN regexp_matches(m, '(?i)^(into|update|delete)') THEN 'writes' ELSE 'reads' END AS via))
+SELECT tbl, split_part(path, '/', 1) AS subsystem, via, count(DISTINCT path) AS n_files FROM r GROUP BY 1, 2, 3""".replace(", r AS", "WITH r AS", 1))
+def raw_sql_consumers(spark, sf_dir):
+    d, i = S.table(spark, sf_dir, "documents"), lambda n: (F.col("doc_id") % n).cast("string")
+    text = F.concat(F.lit("select * from "), "lang", F.lit(".t"), i(30), F.lit(" join u"), i(7), F.lit("; DELETE  FROM v"), i(5), F.lit("; insert into w"), i(3))
+    path = F.concat_ws("/", "source", F.col("doc_id").cast("string"))
+    claimants = d.select(path.alias("path"), F.explode(F.array("source", F.lit("zzz"))).alias("owner"))
+    return rawsql.consumers(d.select(path.alias("path"), text.alias("literal")), claimants)
+
+
+@query("now prev", "SELECT path, content_hash FROM now WHERE path NOT LIKE '%7.%' UNION ALL SELECT path, content_hash FROM prev WHERE (path NOT IN (SELECT path FROM now) OR path LIKE '%7.%') AND path IN (SELECT path FROM now)")
+def state_merged(spark, sf_dir):
+    h = hashed(spark, sf_dir)
+    return incremental.merged(h.where("path NOT LIKE '%7.%'"), S.previous_state(spark, sf_dir), live=h)
+
+
+@query("now prev", "SELECT DISTINCT split_part(path, '/', 1) AS subsystem FROM prev WHERE path NOT IN (SELECT path FROM now)")
+def vanished_owners(spark, sf_dir):
+    s = S.previous_state(spark, sf_dir).withColumn("subsystem", F.split("path", "/")[0])
+    return incremental.vanished_owners(s, hashed(spark, sf_dir))
+
+
+@query("now prev", "SELECT path, content_hash FROM prev WHERE path IN (SELECT path FROM now)")
+def state_pruned(spark, sf_dir):
+    return incremental.pruned(S.previous_state(spark, sf_dir), hashed(spark, sf_dir))
+
+
+@query("orphan", ", l AS (SELECT subsystem, count(*) AS n, list(DISTINCT name::VARCHAR ORDER BY name::VARCHAR) AS s FROM orphan GROUP BY 1) SELECT subsystem, n, array_to_string(s[1:5], ', ') || CASE WHEN len(s) > 5 THEN ', +' || (len(s) - 5) || ' more' ELSE '' END AS sample FROM l")
+def orphan_rollup(spark, sf_dir):
+    return checks.orphan_rollup(orphan_exports(spark, sf_dir))
+
+
+@query("judged", "SELECT DISTINCT 3::INTEGER AS step, 'calibrate' AS action FROM judged WHERE code = 'E_STRUCTURAL_DRIFT'")
+def remediation_ladder(spark, sf_dir):
+    return checks.ladder(judged(spark, sf_dir))
+
+
+@query("node edge2", """, d AS (SELECT id FROM node WHERE id % 5 = 2), p AS (SELECT id AS seed, id AS node, 0 AS depth, CASE criticality WHEN 'core' THEN -1 WHEN 'connector' THEN 1 ELSE 0 END AS most FROM node WHERE id % 5 = 2
+  UNION SELECT seed, u, CASE WHEN most = -1 THEN 0 ELSE depth + 1 END, most FROM p JOIN edge2 ON p.node = edge2.v WHERE most = -1 OR depth < most), x AS (SELECT DISTINCT node AS id FROM p WHERE node % 5 <> 2)
+SELECT x.id AS consumer, (SELECT string_agg(v::VARCHAR, ',' ORDER BY v) FROM edge2 WHERE u = x.id AND v % 5 = 2) AS providers FROM x""")
+def stale_interfaces(spark, sf_dir):
+    e, d = S.edges(spark, sf_dir, 2), dirty(spark, sf_dir)
+    return checks.stale_interfaces(e, graph.propagate(spark, e, S.nodes(spark, sf_dir), d), d)
+
+
+@query("live", ", m AS (SELECT DISTINCT tbl, tbl || '.' || col AS name FROM oplog WHERE col IS NOT NULL) SELECT tbl AS provider, name FROM m WHERE NOT (tbl % 3 <> 0 AND (tbl, name) IN (SELECT tbl, tbl || '.' || col FROM live))")
+def contract_columns(spark, sf_dir):
+    log = S.oplog(spark, sf_dir)
+    asked = log.where("col IS NOT NULL").select(F.col("tbl").alias("provider"), F.concat_ws(".", F.col("tbl").cast("string"), "col").alias("name")).distinct()
+    declared = log.where("tbl % 3 <> 0").select(F.col("tbl").alias("subsystem"), F.col("tbl").cast("string").alias("name")).distinct()
+    tables = fold.live_columns(log).groupBy("tbl").agg(F.collect_set("col").alias("columns")).select(F.col("tbl").alias("subsystem"), F.col("tbl").cast("string").alias("tbl"), "columns")
+    return checks.contract_columns(asked, declared, tables)
+
+
+@query("", "SELECT source AS repo, min(t)::DOUBLE AS least, median(t)::DOUBLE AS middle, max(t)::DOUBLE AS most, round((1 - sum(t) / sum(n_chars)) * 1000)::BIGINT AS saved_permille FROM (SELECT source, n_chars, least(n_chars, 400)::DOUBLE AS t FROM documents) GROUP BY 1")
+def token_economics(spark, sf_dir):
+    t = F.least("n_chars", F.lit(400)).cast("double")
+    d = S.table(spark, sf_dir, "documents").select(F.col("source").alias("repo"), "n_chars", t.alias("t"))
+    return d.groupBy("repo").agg(F.min("t").alias("least"), F.median("t").alias("middle"), F.max("t").alias("most"), F.round((1 - F.sum("t") / F.sum("n_chars")) * 1000).cast("long").alias("saved_permille"))
+
+
+@query("", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN regexp_extract(n, '^test_([^.]*)', 1) WHEN doc_id % 3 = 1 THEN split_part(n, '.spec.', 1) END AS area FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'test_' || lang || '.py' WHEN 1 THEN lang || '.spec.ts' ELSE lang || '.md' END AS n FROM documents)")
+def test_areas(spark, sf_dir):
+    k = F.col("doc_id") % 3
+    name = F.when(k == 0, F.concat(F.lit("a/test_"), "lang", F.lit(".py"))).when(k == 1, F.concat(F.lit("b/"), "lang", F.lit(".spec.ts"))).otherwise(F.concat("lang", F.lit(".md")))
+    return S.table(spark, sf_dir, "documents").select("doc_id", P.test_area(name).alias("area"))
+
+
+@query("oplog", "SELECT op, count(DISTINCT tbl) AS n_tables, count(DISTINCT tbl || '.' || col) AS n_objects FROM oplog GROUP BY 1")
+def schema_object_counts(spark, sf_dir):
+    return fold.object_counts(S.oplog(spark, sf_dir))

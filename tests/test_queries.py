@@ -38,7 +38,7 @@ def test_linkage_of_every_owned_document(spark):
 
 def test_report_ranks_every_finding(spark):
     found = QUERIES["policy_apply"](spark, SF).count()
-    assert sorted(r["rank"] for r in QUERIES["report_order_all"](spark, SF).select("rank").collect()) == list(range(1, found + 1))
+    assert sorted(r["rank"] for r in QUERIES["report_order"](spark, SF).select("rank").collect()) == list(range(1, found + 1))
 
 
 def test_entry(spark):
