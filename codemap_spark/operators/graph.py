@@ -217,7 +217,12 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         done = seen if done is None else done.unionByName(seen)
         gone = seen.select("id")
         left = _saved(spark, left.join(gone.withColumnRenamed("id", "u"), "u", "left_anti").join(gone.withColumnRenamed("id", "v"), "v", "left_anti").select("u", "v"))
-    out = loops.select("id", F.col("id").alias("component")) if done is None else done.select("id", F.col("c").alias("component"))
+    alone = loops.select("id", F.col("id").alias("component"))
+    if done is None:
+        out = alone
+    else:
+        done = _saved(spark, done)
+        out = done.select("id", F.col("c").alias("component")).unionByName(alone.join(done.select("id"), "id", "left_anti"))
     size = out.groupBy("component").agg(F.count("*").alias("size"))
     sized = out.join(size, "component").select("id", "component", "size")
     return sized.join(loops.withColumn("loop", F.lit(True)), "id", "left").where("size > 1 OR loop").select("id", "component", "size")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import posixpath
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,8 +15,8 @@ from codemap_spark.functions.paths import strip_ext, suffixes
 WEB = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".mts", ".cts")
 
 
-def candidates(importer: str, module: str) -> list[str]:
-    """Stems that an import may mean, best first."""
+def candidates(importer: str, module: str, aliases: Callable[[str], list[str]] | None = None) -> list[str]:
+    """Stems that an import may mean, best first; aliases gives those of a bare one in a web file."""
     if not module:
         return []
     web, here = importer.endswith(WEB), posixpath.dirname(importer)
@@ -29,12 +30,39 @@ def candidates(importer: str, module: str) -> list[str]:
             here = posixpath.dirname(here)
         rest = module[dots:].replace(".", "/")
         return [posixpath.normpath(posixpath.join(here, rest)) if rest else (here or ".")]
-    return [module] if web or "/" in module else [module.replace(".", "/")]
+    known = aliases(module) if web and aliases else []
+    return list(dict.fromkeys([*known, module if web or "/" in module else module.replace(".", "/")]))
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def candidate_stems(importer: pd.Series, module: pd.Series) -> pd.Series:
-    return pd.Series([candidates(a or "", b or "") for a, b in zip(importer, module, strict=True)])
+def member_candidates(importer: str, module: str, names: list[str], aliases: Callable[[str], list[str]] | None = None) -> list[tuple[bool, list[str]]]:
+    """Candidates of the module, and of each name as a member of it: ``from . import output`` means a file of the package."""
+    out = [(False, candidates(importer, module, aliases))]
+    for n in filter(None, names):
+        out.append((True, candidates(importer, f"{module}{n}" if module.endswith(".") or not module else f"{module}.{n}", aliases)))
+    return out
+
+
+def stems_udf(aliases: Callable[[str], list[str]] | None = None):
+    """A column function (importer, module) -> array of stems."""
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def stems(importer: pd.Series, module: pd.Series) -> pd.Series:
+        return pd.Series([candidates(a or "", b or "", aliases) for a, b in zip(importer, module, strict=True)])
+
+    return stems
+
+
+def members_udf(aliases: Callable[[str], list[str]] | None = None):
+    """A column function (importer, module, names) -> array of (member, stems)."""
+
+    @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("member", T.BooleanType()), T.StructField("stems", T.ArrayType(T.StringType()))])))
+    def members(importer: pd.Series, module: pd.Series, names: pd.Series) -> pd.Series:
+        return pd.Series([[{"member": m, "stems": s} for m, s in member_candidates(a or "", b or "", list(n) if n is not None else [], aliases)] for a, b, n in zip(importer, module, names, strict=True)])
+
+    return members
+
+
+candidate_stems = stems_udf()
 
 
 def stem_index(files: DataFrame) -> DataFrame:

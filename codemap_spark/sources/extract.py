@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import ast
 import json
+import posixpath
 import re
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -51,33 +53,52 @@ def _literal_all(tree: ast.Module) -> set[str] | None:
     return None
 
 
-def _orm_table(node: ast.ClassDef) -> str | None:
-    """The table of a mapped class; an abstract one has none."""
-    bases = {b.attr if isinstance(b, ast.Attribute) else getattr(b, "id", "") for b in node.bases}
-    table, meta = None, False
-    for x in node.body:
-        if isinstance(x, ast.Assign) and isinstance(x.targets[0], ast.Name):
-            key, value = x.targets[0].id, x.value
-            if key == "__tablename__":
-                table = value.value if isinstance(value, ast.Constant) else node.name
-            elif key == "__abstract__" and getattr(value, "value", None) is True:
+def _bases(node: ast.ClassDef) -> set[str]:
+    """Dotted names of base classes."""
+    return {ast.unparse(b) for b in node.bases if isinstance(b, ast.Name | ast.Attribute)}
+
+
+def _django(classes: list[ast.ClassDef]) -> set[str]:
+    """Names of the file's classes that are models by a base of theirs, directly or over each other."""
+    bases = {c.name: _bases(c) for c in classes}
+    models = {n for n, bs in bases.items() if any(b == "Model" or b.endswith(".Model") for b in bs)}
+    while new := {n for n, bs in bases.items() if n not in models and bs & models}:
+        models |= new
+    return models
+
+
+def _orm_table(node: ast.ClassDef, models: set[str]) -> str | None:
+    """The table of a mapped class; an abstract model has none, a name that is computed gives the class's."""
+    django = node.name in models
+    table, mapped, meta_table = None, False, None
+
+    def pairs(body: list[ast.stmt]) -> Iterator[tuple[str, ast.expr]]:
+        for x in body:
+            if isinstance(x, ast.Assign) and len(x.targets) == 1 and isinstance(x.targets[0], ast.Name):
+                yield x.targets[0].id, x.value
+
+    text = lambda v: v.value if isinstance(v, ast.Constant) and isinstance(v.value, str) else None
+    for key, value in pairs(node.body):
+        if key == "__tablename__":
+            mapped, table = True, text(value)
+        elif key == "__table__" and isinstance(value, ast.Call) and value.args and text(value.args[0]):
+            mapped, table = True, text(value.args[0])
+        elif key == "__abstract__" and getattr(value, "value", None) is True:
+            return None
+    for meta in (x for x in node.body if isinstance(x, ast.ClassDef) and x.name == "Meta"):
+        for key, value in pairs(meta.body):
+            if key == "abstract" and getattr(value, "value", None) is True and django:
                 return None
-            elif key == "__table__" and isinstance(value, ast.Call) and value.args and isinstance(value.args[0], ast.Constant):
-                table = value.args[0].value
-        elif isinstance(x, ast.ClassDef) and x.name == "Meta":
-            meta = True
-            for y in x.body:
-                if isinstance(y, ast.Assign) and isinstance(y.targets[0], ast.Name) and isinstance(y.value, ast.Constant):
-                    if y.targets[0].id == "abstract" and y.value.value is True:
-                        return None
-                    if y.targets[0].id == "db_table":
-                        table = y.value.value
-    return table or (node.name.lower() if "Model" in bases and (meta or "Model" in bases) else None)
+            meta_table = text(value) if key == "db_table" else meta_table
+    if mapped:
+        return table or node.name
+    return (meta_table or node.name) if django else None
 
 
 def python(text: str) -> list[dict]:
     tree = ast.parse(text)
     public, out = _literal_all(tree), []
+    models = _django([n for n in tree.body if isinstance(n, ast.ClassDef)])
 
     def shown(name: str) -> bool:
         return name in public if public is not None else not name.startswith("_")
@@ -87,7 +108,7 @@ def python(text: str) -> list[dict]:
             out.append(symbol(node.name, "function", node.lineno, shown(node.name)))
         elif isinstance(node, ast.ClassDef):
             out.append(symbol(node.name, "class", node.lineno, shown(node.name)))
-            if table := _orm_table(node):
+            if table := _orm_table(node, models):
                 out.append(symbol(table, "table", node.lineno, True, op="create_table", tbl=table))
         elif isinstance(node, ast.Assign | ast.AnnAssign):
             for t in node.targets if isinstance(node, ast.Assign) else [node.target]:
@@ -96,10 +117,16 @@ def python(text: str) -> list[dict]:
         elif isinstance(node, ast.Import):
             out += [imported(a.name, node.lineno) for a in node.names]
         elif isinstance(node, ast.ImportFrom):
-            out.append(imported("." * node.level + (node.module or ""), node.lineno, [a.name for a in node.names]))
+            out.append(imported("." * node.level + (node.module or ""), node.lineno, [a.name for a in node.names if a.name != "*"]))
     return out
 
 
+def _liner(text: str) -> Callable[[int], int]:
+    """The line of a place, by search among line ends that are found once."""
+    ends = [m.start() for m in re.finditer("\n", text)]
+    return lambda at: bisect_left(ends, at) + 1
+
+
 # --- TypeScript and JavaScript -------------------------------------------------------------------
 
 
@@ -110,7 +137,7 @@ def masked(text: str, comments: str, quotes: str) -> str:
 
 
 _TS_KIND = {"function": "function", "class": "class", "interface": "interface", "type": "type", "enum": "enum", "namespace": "namespace", "module": "namespace", "const": "const", "let": "variable", "var": "variable"}
-_TS_DECL = re.compile(r"(?m)^(export\s+)?(default\s+)?(?:declare\s+)?(?:abstract\s+)?(?:async\s+)?(function\*?|class|interface|type|enum|namespace|module|const(?:\s+enum)?|let|var)\s+([A-Za-z_$][\w$]*)")
+_TS_DECL = re.compile(r"(?m)^(export\s+)?(default\s+)?(?:declare\s+)?(?:abstract\s+)?(?:async\s+)?(function\*?|class|interface|type|enum|namespace|module|const(?:\s+enum)?|let|var)\s*(?<=[\s*])([A-Za-z_$][\w$]*|(?<=const )[{\[]|(?<=let )[{\[]|(?<=var )[{\[])")
 _TS_FROM = re.compile(r"""(?m)^(import|export)\s+(?:type\s+)?([^'";]*?)\s*(?:from\s*)?(['"])([^'"\n]+)\3""")
 _TS_REQUIRE = re.compile(r"""(?:(?:const|let|var)\s+(\{[^}]*\}|[\w$]+)\s*=\s*)?require\(\s*(['"])([^'"]+)\2\s*\)""")
 _RANK = {"class": 0, "function": 1, "enum": 2, "interface": 3, "type": 4}
@@ -120,36 +147,129 @@ def _names(clause: str) -> list[str]:
     return [n for n in (re.split(r"\s+as\s+", x.strip().removeprefix("type ").strip())[0] for x in re.sub(r"[{}]", ",", clause).split(",")) if n and n != "*"]
 
 
+_TS_BRACKETS = {"(": 1, "[": 1, "{": 1, ")": -1, "]": -1, "}": -1}
+_DRIZZLE = re.compile(r"^\s*(?:[\w$]+\.)?(?:pgTable|sqliteTable|mysqlTable)\s*\(\s*(?:(['\"`])([^'\"`\n]*)\1)?")
+_DECORATOR = re.compile(r"@([A-Za-z_$][\w$.]*)\s*(\()?")
+_ENTRIES = {"Controller": "nest_controller", "Resolver": "nest_resolver"}
+
+
+def _declarators(code: str, at: int) -> Iterator[tuple[str, int, int]]:
+    """(name, its start, start of its value) of each declarator of a statement; patterns give each name that they bind."""
+    depth, k, want = 0, at, True
+    while k < len(code):
+        c = code[k]
+        if want and depth == 0 and (m := re.compile(r"[A-Za-z_$][\w$]*").match(code, k)):
+            v = re.compile(r"\s*(?::[^=;\n]*?)?=(?!=|>)").match(code, m.end())
+            yield m[0], k, v.end() if v else -1
+            k, want = m.end(), False
+            continue
+        if want and depth == 0 and c in "{[":
+            end = _closing(code, k)
+            for part in _split(code[k + 1 : end], "([{", ")]}"):
+                name = re.split(r"=(?!>)", part.split(":")[-1])[0].strip().lstrip(".")
+                if re.fullmatch(r"[A-Za-z_$][\w$]*", name):
+                    yield name, k, -1
+            k, want = end + 1, False
+            continue
+        depth += _TS_BRACKETS.get(c, 0)
+        if depth < 0 or depth == 0 and (c == ";" or c == "\n" and re.match(r"\s*(?:export|import|const|let|var|function|class|interface|type|enum|async|declare|abstract|namespace|@|/|$)", code[k + 1 : k + 40])):
+            return
+        if c == "," and depth == 0:
+            want = True
+        k += 1
+
+
+def _closing(code: str, at: int) -> int:
+    """Place of the bracket that closes the one at a place."""
+    depth = 0
+    for k in range(at, len(code)):
+        depth += _TS_BRACKETS.get(code[k], 0)
+        if depth == 0:
+            return k
+    return len(code)
+
+
+def _decorators(code: str, visible: str, at: int) -> dict[str, str]:
+    """name -> argument text of the decorators right before a declaration."""
+    out: dict[str, str] = {}
+    start = max(code.rfind(";", 0, at), code.rfind("}\n", 0, at)) + 1
+    # An argument's braces belong to the decorator, so the search starts at the line of the first @.
+    lines = code[:at].rstrip().rsplit("\n", 12)
+    head = code[:at].rstrip()
+    begin = len(head)
+    for row in reversed(lines[1:] if len(lines) > 1 else lines):
+        begin = head.rfind(row, 0, begin + len(row)) if row else begin
+        if row.lstrip().startswith("@"):
+            start = min(start, begin) if start > begin else begin
+        elif not re.match(r"\s*[\]})\w'\",:{\[(]", row) or re.match(r"\s*(?:export|import|const|let|class|function)\b", row):
+            break
+    for m in _DECORATOR.finditer(code, start, at):
+        end = _closing(code, m.end() - 1) if m[2] else m.end()
+        out[m[1].split(".")[-1]] = visible[m.end() : end] if m[2] else ""
+    return out
+
+
 def typescript(text: str) -> list[dict]:
     code = masked(text, r"//[^\n]*|/\*.*?\*/", "'\"`")
-    line = lambda at: text.count("\n", 0, at) + 1
+    visible = masked(text, r"//[^\n]*|/\*.*?\*/", "`")
+    line = _liner(text)
     found = []
+
+    def table(at: int, name: str) -> None:
+        found.append((at, symbol(name, "table", line(at), True, op="create_table", tbl=name)))
+
     for m in _TS_DECL.finditer(code):
         kind = "enum" if m[3].endswith("enum") else _TS_KIND[m[3].rstrip("*")]
-        found.append((m.start(), symbol(m[4], kind, line(m.start()), bool(m[1]))))
+        if m[3] in ("const", "let", "var"):
+            for name, at, value in _declarators(code, m.start(4) if code[m.start(4)] not in "{[" else m.start(4)):
+                found.append((m.start(), symbol(name, kind, line(at), bool(m[1]))))
+                if value >= 0 and (d := _DRIZZLE.match(visible[value : value + 400])):
+                    table(m.start(), d[2] or name)
+            continue
+        extra = {}
+        if kind == "class":
+            marks = _decorators(code, visible, m.start())
+            entry = next((role for d, role in _ENTRIES.items() if d in marks), None)
+            extra = {"target": entry} if entry else {}
+            if "Entity" in marks:
+                arg = re.match(r"""\s*(?:(['"])([^'"]*)\1|\{[^}]*?\bname\s*:\s*(['"])([^'"]*)\3)""", marks["Entity"])
+                table(m.start(), (arg and (arg[2] or arg[4])) or m[4])
+        found.append((m.start(), symbol(m[4], kind, line(m.start()), bool(m[1]), **extra)))
         if m[2]:
             found.append((m.start(), symbol("default", "default", line(m.start()))))
     for m in re.finditer(r"(?m)^export\s+default\b(?!\s+(?:async\s+)?(?:abstract\s+)?(?:function|class)\b)", code):
         found.append((m.start(), symbol("default", "default", line(m.start()))))
+    kinds = {s["name"]: s["kind"] for _, s in found if s["kind"] not in ("unknown", "default", "table")}
     for m in re.finditer(r"(?m)^export\s+(?:type\s+)?\{([^}]*)\}(\s*from\b)?", code):
-        for x in m[1].split(","):
-            if x.strip():
-                found.append((m.start(), symbol(re.split(r"\s+as\s+", x.strip())[-1].removeprefix("type ").strip(), "unknown", line(m.start()))))
+        for x in filter(str.strip, m[1].split(",")):
+            names = [n.removeprefix("type ").strip() for n in re.split(r"\s+as\s+", x.strip())]
+            # A clause over local names shows their declarations; over another file's it stays open.
+            found.append((m.start(), symbol(names[-1], "unknown" if m[2] else kinds.get(names[0], "unknown"), line(m.start()))))
     for m in re.finditer(r"(?m)^export\s+\*\s+as\s+([\w$]+)", code):
         found.append((m.start(), symbol(m[1], "namespace", line(m.start()))))
     for m in re.finditer(r"(?m)^(?:module\.)?exports\.([\w$]+)\s*=", code):
         found.append((m.start(), symbol(m[1], "variable", line(m.start()))))
-    local = {s["name"]: s["kind"] for _, s in found if s["kind"] not in ("unknown", "default")}
+    for m in re.finditer(r"(?m)^(?:[\w$.]+\s*=\s*)?module\.exports\s*=\s*(?:[\w$.]+\s*=\s*)*(\{|[A-Za-z_$][\w$]*|[^\s])", code):
+        if m[1] == "{":
+            for part in _split(code[m.end() : _closing(code, m.end() - 1)], "([{", ")]}"):
+                if (n := re.match(r"\s*(?:async\s+)?([A-Za-z_$][\w$]*)\s*(?:$|[:,(])", part)) and not part.lstrip().startswith("..."):
+                    found.append((m.start(), symbol(n[1], kinds.get(n[1], "variable"), line(m.start()))))
+        else:
+            found.append((m.start(), symbol("default", "default", line(m.start()))))
     best: dict[tuple, tuple] = {}
     for at, s in sorted(found, key=lambda x: x[0]):
-        s["kind"] = local.get(s["name"], "unknown") if s["kind"] == "unknown" else s["kind"]
-        key = (s["name"], s["exported"])
+        key = (s["name"], s["exported"], s["kind"] == "table")
         if key not in best or _RANK.get(s["kind"], 9) < _RANK.get(best[key][1]["kind"], 9):  # overloads collapse to one
             best[key] = (best[key][0] if key in best else at, s)
     out = [s for _, s in sorted(best.values(), key=lambda x: x[0])]
-    visible = masked(text, r"//[^\n]*|/\*.*?\*/", "`")
     out += [imported(m[4], line(m.start()), _names(m[2])) for m in _TS_FROM.finditer(visible)]
-    return out + [imported(m[3], line(m.start()), _names(m[1] or "") if (m[1] or "").startswith("{") else []) for m in _TS_REQUIRE.finditer(visible)]
+    seen = set()
+    for m in _TS_REQUIRE.finditer(visible):
+        key = (visible.rfind("\n", 0, m.start()), m[3])  # once a statement
+        if key not in seen:
+            seen.add(key)
+            out.append(imported(m[3], line(m.start()), _names(m[1] or "") if (m[1] or "").startswith("{") else []))
+    return out
 
 
 # --- SQL -----------------------------------------------------------------------------------------
@@ -170,10 +290,10 @@ def sql_masked(text: str) -> str:
     return token.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
 
 
-def _split(body: str) -> list[str]:
+def _split(body: str, opens: str = "(", closes: str = ")") -> list[str]:
     parts, depth, at = [], 0, 0
     for k, c in enumerate(body):
-        depth += (c == "(") - (c == ")")
+        depth += (c in opens) - (c in closes)
         if c == "," and depth == 0:
             parts.append(body[at:k])
             at = k + 1
@@ -203,7 +323,7 @@ _HEADER = re.compile(r"(?im)^\s*--\s*(revision|down_revision|order)\s*[:=]\s*(\S
 
 def sql(text: str) -> list[dict]:
     code = sql_masked(text)
-    line = lambda at: text.count("\n", 0, at) + 1
+    line = _liner(text)
     found, starts = [], []
     for what, pattern in _SQL:
         for m in pattern.finditer(code):
@@ -284,8 +404,10 @@ EXTRACTORS: dict[str, Callable[[str], list[dict]]] = {"python": python, "typescr
 
 
 def extract_one(path: str, text: str | None, language: str | None) -> list[dict]:
-    if text is None or language not in EXTRACTORS:
+    if language not in EXTRACTORS:
         return []
+    if text is None:
+        return [{"what": "error", "error": "oversized"}]
     if len(text.encode("utf-8", "replace")) > MOST_BYTES:
         return [{"what": "error", "error": "oversized"}]
     try:
@@ -309,14 +431,17 @@ def extract(files: DataFrame) -> DataFrame:
 
 
 def source_files(spark: SparkSession, root: str, languages: dict[str, str] = LANGUAGES) -> DataFrame:
-    """Files of languages under root: path below it, language, size, text; ignored folders left out."""
+    """Files of languages under root: path below it, language, size, text; ignored folders left out.
+
+    The text of an oversized file is never read into a row of text: it is null, and extract() gives an error for it.
+    """
     ext = F.regexp_extract("path", r"(\.[A-Za-z0-9]+)$", 1)
     lang = F.create_map(*(F.lit(x) for kv in languages.items() for x in kv))
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     rel = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/+", "/"), "^" + re.escape(root.rstrip("/")) + "/", "")
     df = df.select(rel.alias("path"), lang[ext].alias("language"), F.col("length").alias("size"), F.col("content"))
     df = df.where(F.col("language").isNotNull() & ~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, IGNORED))))
-    return df.withColumn("text", F.decode("content", "UTF-8"))
+    return df.withColumn("text", F.when(F.col("size") <= MOST_BYTES, F.decode("content", "UTF-8")))
 
 
 def structure_hash(facts: DataFrame) -> DataFrame:
@@ -336,9 +461,64 @@ def strip_jsonc(text: str) -> str:
 
 def aliases(config: str) -> list[tuple[str, str, str]]:
     """(prefix, suffix, target) of a compiler configuration's paths, most specific first."""
-    options = json.loads(strip_jsonc(config)).get("compilerOptions", {})
+    return ordered(json.loads(strip_jsonc(config)).get("compilerOptions", {}).get("paths", {}))
+
+
+def ordered(paths: dict[str, list[str]]) -> list[tuple[str, str, str]]:
     rows = []
-    for pattern, targets in options.get("paths", {}).items():
+    for pattern, targets in paths.items():
         head, star, tail = pattern.partition("*")
-        rows += [(bool(star), -len(head), -len(tail), pattern, head, tail, t) for t in targets]
-    return [(r[4], r[5], r[6]) for r in sorted(rows)]
+        rows += [(bool(star), -len(head), -len(tail), pattern, k, head, tail if star else None, t) for k, t in enumerate(targets)]
+    return [(r[5], r[6] or "", r[7]) for r in sorted(rows, key=lambda r: r[:5])]
+
+
+MOST_EXTENDS = 16
+
+
+def load_aliases(root: Path) -> tuple[str | None, dict[str, list[str]]]:
+    """(base folder, pattern -> targets) of a project's compiler configuration, with what it extends read first; nothing where it can't be read."""
+    for name in ("tsconfig.json", "jsconfig.json"):
+        if (root / name).is_file():
+            try:
+                return _merged(root, root / name)
+            except (OSError, ValueError, AttributeError, TypeError):
+                return None, {}
+    return None, {}
+
+
+def _merged(root: Path, path: Path) -> tuple[str | None, dict[str, list[str]]]:
+    chain, seen = [], set()
+    while path and path.is_file() and path.resolve() not in seen and len(chain) < MOST_EXTENDS:
+        seen.add(path.resolve())
+        config = json.loads(strip_jsonc(path.read_text(encoding="utf-8")))
+        chain.append((path.parent.relative_to(root).as_posix(), config.get("compilerOptions") or {}))
+        up = config.get("extends")
+        up = up[-1] if isinstance(up, list) and up else up
+        found = (path.parent / up) if isinstance(up, str) and up.startswith(".") else None
+        path = found if found is None or found.is_file() else found.with_name(found.name + ".json")
+        if path is not None and not path.resolve().is_relative_to(root.resolve()):
+            path = None
+    base, paths = None, {}
+    for here, options in reversed(chain):
+        if isinstance(options.get("baseUrl"), str):
+            base = posixpath.normpath(posixpath.join(here, options["baseUrl"]))
+        for pattern, targets in (options.get("paths") or {}).items():
+            anchor = base if base is not None else here
+            if isinstance(targets, list):
+                paths[pattern] = [posixpath.normpath(posixpath.join(anchor, t)) for t in targets if isinstance(t, str)]
+    return base, {k: v for k, v in paths.items() if v}
+
+
+def alias_stems(module: str, base: str | None, paths: list[tuple[str, str, str]], patterns: set[str]) -> list[str]:
+    """What a bare import may mean by aliases, most specific first, then below the base folder."""
+    out = []
+    for head, tail, target in paths:
+        star = f"{head}*{tail}" in patterns
+        if star and module.startswith(head) and module.endswith(tail) and len(module) >= len(head) + len(tail):
+            out.append(target.replace("*", module[len(head) : len(module) - len(tail) or None], 1))
+        elif not star and module == head:
+            out.append(target)
+    if base is not None:
+        out.append(posixpath.normpath(posixpath.join(base, module)))
+    # Targets may name a file; stems have no suffix.
+    return list(dict.fromkeys(re.sub(r"(?<=[^/])\.(?:d\.)?(?:ts|tsx|js|jsx|mjs|cjs|mts|cts)$", "", x) for x in out))

