@@ -33,7 +33,7 @@ PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L
 LONG = 400
 NONE = 1 << 62
 #: Pieces and chunks remembered in a worker.
-PIECES, CHUNKS = 200_000, 500_000
+PIECES, CHUNKS = 150_000, 300_000
 
 
 def _byte_symbols() -> list[str]:
