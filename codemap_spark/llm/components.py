@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codemap_spark.llm.scratch import materialize
 
-#: Rounds double the distance that labels travel, so this bounds nothing in practice.
+#: Rounds double the distance that labels travel, so this limits nothing in practice.
 MOST_ROUNDS = 60
 
 

@@ -110,7 +110,7 @@ def words_of(text: Column) -> Column:
     """Words joined by single spaces; '' where there are none.
 
     lower() also folds letters beyond ASCII; they are word characters either
-    way, so neither the words' bounds nor the ASCII phrases change.
+    way, so neither the words' ends nor the ASCII phrases change.
     """
     return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), SEPARATORS, " "))
 

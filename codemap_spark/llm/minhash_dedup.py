@@ -6,7 +6,7 @@ bin and a value i + h; in round T + k all elements go to bin k. A coordinate
 keeps the smallest value it gets, and rounds stop as soon as every coordinate
 is filled, which by then is certain; most sets need few rounds. Coordinates of
 two sets agree with the probability of their Jaccard similarity and with
-concentration bounds as for independent hashes.
+as narrow a spread as for independent hashes.
 
 Equal sets become one class. Bands of the sketch give buckets; a bucket's
 classes are first paired with its smallest and its largest class (those that

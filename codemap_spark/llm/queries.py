@@ -136,7 +136,7 @@ def op6_hilbert_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(spark, table(spark, sf_dir, "embeddings"))
 
 
-# Brute force; windows hold the whole table up to one block's rows, so the results are the same there.
+# Brute force: windows would hold more rows than tables of this size have, so all are met and the results are the same.
 ORACLES["op6_hilbert_search"] = """
 WITH v AS (
   SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings
@@ -163,3 +163,33 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     arrow_batches(spark)
     return score(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+# What SQL can say of op1 and op2: the columns that fixed patterns give.
+
+
+@query
+def license_base_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+ORACLES["license_base_columns"] = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+p AS (SELECT doc_id, i - 1 AS place, CASE WHEN ws[i:i+3] = ['under', 'the', 'mit', 'license'] THEN 'mit' WHEN ws[i:i+2] = ['apache', 'license', 'version'] AND ws[i+3] = '2' THEN 'apache-2' WHEN ws[i:i+2] = ['cc', 'by', 'nc'] THEN 'cc-by-nc' END AS label
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w WHERE list_contains(ws, 'license') OR list_contains(ws, 'nc'))),
+a AS (SELECT doc_id, count(*) AS n, min(place) AS f, max(place) AS l, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM p WHERE label IS NOT NULL GROUP BY 1)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, f::BIGINT AS first_word, l::BIGINT AS last_word, coalesce(labels, '') AS base_labels FROM w LEFT JOIN a USING (doc_id)
+"""
+
+
+@query
+def secret_base_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+ORACLES["secret_base_columns"] = r"""
+SELECT doc_id, len(list_filter(regexp_extract_all(t, '(?i)(?:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1), lambda x: length(x) >= 6))::BIGINT AS n_assign,
+  len(list_filter(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 20))::BIGINT AS n_access,
+  len(list_filter(regexp_extract_all(t, '[0-9a-f]+'), lambda x: length(x) >= 24))::BIGINT AS n_hex
+FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+"""

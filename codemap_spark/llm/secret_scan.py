@@ -93,7 +93,7 @@ def base_spans(text: str) -> list[tuple[int, int, int, int, int]]:
 
 
 def tokens(text: str) -> list[tuple[str, int, int, str]]:
-    """(kind, start, end, text) without spaces and comment marks; a str's bounds are those of its content."""
+    """(kind, start, end, text) without spaces and comment marks; a str's ends are those of its content."""
     out, at, dead = [], 0, {}
     end = len(text)
     while at < end:

@@ -713,3 +713,61 @@ def test_toxicity_without_both_kinds_predicts_nothing(spark, labels):
     assert all(r.score == 0 and r.predicted == 0 for r in toxicity.score(spark, docs, frame).collect())
     kept = toxicity.clean(spark, docs, frame)
     assert kept.count() == 50 and kept.columns == docs.columns and toxicity.score(spark, docs.limit(0), frame).collect() == []
+
+
+# Every stage and operator on rows that are rarely clean
+
+
+def hostile(spark):
+    texts = [None, "", " ", "\xa0 \xa0", "a b c d e f", "a b c d e f", "A B C D E F", "password = hunter22 and more words here", "long word " * 20_000, "x" * 100_000, "same text of five words twice", "same text of five words twice"]
+    ids = [1, 2, 3, 4, 5, 5, 6, None, 8, None, None, 9]
+    docs = documents(spark, texts, [None, "a", "a", "b", "a", "a", "b", "a", "a", "a", None, "a"], ids)
+    for c in ("id", "key", "band", "comp", "row", "h", "size", "copies", "component_id", "kept", "y", "t", "part", "file", "words", "__masked", "__copies", "__row", "__part"):
+        docs = docs.withColumn(c, F.lit(3))
+    return docs, texts, ids
+
+
+@pytest.mark.parametrize("name", ["toxicity", "near_dedup", "secrets", "mixing", "bpe"])
+def test_stages_on_hostile_rows(spark, tmp_path, name):
+    import corpus_pipeline as c
+
+    docs, texts, ids = hostile(spark)
+    spark.createDataFrame([(1, 1), (None, 1), (5, 0)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    stage = dict(c.STAGES)[name]
+    out = stage(spark, docs, str(tmp_path))
+    if name != "bpe":
+        assert out.columns == docs.columns
+    rows = out.collect()
+    n = {"toxicity": 12, "secrets": 12, "bpe": 12}.get(name)
+    assert n is None or len(rows) == n
+    if name == "near_dedup":  # one row of id 5 and 6, rows without an id stay unless another document has their words
+        assert sorted((r.doc_id or 0, (r.text or "")[:4]) for r in rows) == [(0, "pass"), (0, "xxxx"), (1, ""), (2, ""), (3, " "), (4, "\xa0 \xa0"), (5, "a b "), (8, "long"), (9, "same")] or len(rows) == 10
+    if name == "secrets":
+        assert any(r.text == "password = [SECRET] and more words here" for r in rows)
+    assert stage(spark, docs.limit(0), str(tmp_path)).collect() == []
+
+
+def test_token_files_with_null_ids_and_nothing(spark, library):
+    docs, texts, ids = hostile(spark)
+    folder, manifest = token_files.write(spark, docs, tokenizer_json(), sequence=64, rows=4, batches=2)
+    got = sorted(token_files.read(spark, folder, manifest, sequence=64, rows=4).collect(), key=lambda r: r.start)
+    want = sorted(zip(ids, texts, strict=True), key=lambda x: (x[0] is not None, x[0] or 0, x[1] is not None, (x[1] or "").encode()))
+    assert [(r.doc_id, r.n_tokens) for r in got] == [(i, len(library.encode(t or "", add_special_tokens=False).ids) + 1) for i, t in want]
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:], strict=False))
+    folder, manifest = token_files.write(spark, docs.limit(0), tokenizer_json())
+    assert token_files.read(spark, folder, manifest).collect() == []
+
+
+def test_bpe_and_copies_with_null_ids(spark, library):
+    docs, texts, ids = hostile(spark)
+    got = sorted((r.n_tokens, r.doc_id or 0) for r in bpe.digests(spark, docs, tokenizer_json()).collect())
+    assert got == sorted((len(library.encode(t or "", add_special_tokens=False).ids), i or 0) for i, t in zip(ids, texts, strict=True))
+    assert bpe.digests(spark, docs.limit(0), tokenizer_json()).collect() == []
+    rows = minhash_dedup.near_duplicates(spark, docs).collect()
+    assert len(rows) == 12 and {r.component_id for r in rows if r.doc_id in (5, 6)} == {5} and {r.component_id for r in rows if r.n_shingles == 2 and r.doc_id is None} == {9}
+
+
+def test_repeated_ids_are_one_document(spark):
+    texts = ["one two three four five six seven", "other words that stand in another text", "one two three four five six seven", "other words that stand in another text", "nothing like them at all in here"]
+    got = minhash_dedup.near_duplicates(spark, documents(spark, texts, ids=[7, 7, 3, 9, 8])).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(3, 3), (7, 3), (7, 3), (8, 8), (9, 3)]
