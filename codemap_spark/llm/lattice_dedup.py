@@ -9,7 +9,8 @@ Equal vectors become one class first; a class counts its size, so copies are
 never paired. Classes of one cell meet in bounded blocks in the first table
 where they share a cell. A block gives each of its classes the number of rows
 it links with and one link to a root of its component there, never a list of
-its pairs. Pairs that meet only by probing follow.
+its pairs. Pairs that meet only by probing follow; those that share a cell are
+left out as they meet, so a group of near copies does not come up again.
 
 A null, zero or non-finite vector, or one that holds a null, links with
 nothing; vectors link with those of their own length alone. Rows that repeat an
@@ -37,6 +38,8 @@ from codemap_spark.llm.scratch import materialize, trimmed
 TABLES, PROBES, WIDTH, SEED = 16, 16, 0.9, 20240607
 #: Of 64 signs of random projections, so many may differ; at cosine 0.9 more do with probability below 1e-4.
 SIGNS_APART = 21
+#: Longs that hold 16 bits of each table's own cell; pairs that agree in one share a cell (but for 2.4e-4 of those that don't).
+LANES = TABLES // 4
 BLOCK = 512
 
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -98,7 +101,7 @@ def cells(unit: np.ndarray, tables: int = TABLES, probes: int = PROBES, width: f
     return own, near
 
 
-_CELLS = T.StructType([T.StructField("id", T.LongType()), T.StructField("vec", T.BinaryType()), T.StructField("signs", T.LongType()), T.StructField("own", T.ArrayType(T.LongType())), T.StructField("near", T.ArrayType(T.LongType()))])
+_CELLS = T.StructType([T.StructField("id", T.LongType()), T.StructField("vec", T.BinaryType()), T.StructField("signs", T.LongType()), *(T.StructField(f"l{k}", T.LongType()) for k in range(LANES)), T.StructField("own", T.ArrayType(T.LongType())), T.StructField("near", T.ArrayType(T.LongType()))])
 #: A link of classes a and b, or without b the number of rows that a links with.
 _LINKS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("n", T.LongType())])
 
@@ -115,6 +118,19 @@ def _signs(unit: np.ndarray) -> np.ndarray:
     return np.packbits(up, axis=1).view(np.int64).ravel()
 
 
+def _lanes(own: np.ndarray) -> list[np.ndarray]:
+    """16 bits of each table's own key, four tables a long."""
+    bits = np.zeros((len(own), LANES * 4), np.uint16)
+    bits[:, : own.shape[1]] = (own.view(np.uint64) >> np.uint64(41)).astype(np.uint16)
+    return [np.ascontiguousarray(bits[:, 4 * k : 4 * k + 4]).view(np.int64).ravel() for k in range(LANES)]
+
+
+def _shares(p: str, q: str) -> str:
+    """SQL: whether two rows' lanes agree in some table."""
+    masks = (0xFFFF, 0xFFFF << 16, 0xFFFF << 32, -(1 << 48))
+    return "(" + " OR ".join(f"(({p}{k} ^ {q}{k}) & {m}L) = 0" for k in range(LANES) for m in masks) + ")"
+
+
 def _hashed(classes: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,7 +140,7 @@ def _hashed(classes: DataFrame) -> DataFrame:
                 at = np.flatnonzero(sizes == d)
                 u = _unit(np.array([vectors[k] for k in at], np.float64))
                 own, near = cells(u)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array([x.tobytes() for x in u], pa.binary()), pa.array(_signs(u)), pa.array(list(own), pa.list_(pa.int64())), pa.array(list(near.reshape(len(at), -1)), pa.list_(pa.int64()))], _CELLS.names)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array([x.tobytes() for x in u], pa.binary()), pa.array(_signs(u)), *map(pa.array, _lanes(own)), pa.array(list(own), pa.list_(pa.int64())), pa.array(list(near.reshape(len(at), -1)), pa.list_(pa.int64()))], _CELLS.names)
 
     return classes.select("id", "vec").mapInArrow(trimmed(run), _CELLS)
 
@@ -221,9 +237,10 @@ def near_duplicates(spark: SparkSession, table: DataFrame, id_col: str = "vec_id
     members = own.join(many, "key").join(hashed.select("c", "vec", "own").join(classes.select("c", "n"), "c"), "c").select("key", "table", "c", "vec", "own", "n")
     within = materialize(spark, _within(members, least), "within")
     # Probed cells; pairs that share a cell in some table are done.
-    probed = hashed.select(F.col("c").alias("p"), F.col("signs").alias("sp"), F.explode("near").alias("key"))
-    met = hashed.select(F.col("c").alias("q"), F.col("signs").alias("sq"), F.explode("own").alias("key")).join(probed, "key")
-    met = met.where(f"p <> q AND bit_count(sp ^ sq) <= {SIGNS_APART}")
+    lanes = lambda x: [F.col(f"l{k}").alias(f"{x}{k}") for k in range(LANES)]
+    probed = hashed.select(F.col("c").alias("p"), F.col("signs").alias("sp"), *lanes("lp"), F.explode("near").alias("key"))
+    met = hashed.select(F.col("c").alias("q"), F.col("signs").alias("sq"), *lanes("lq"), F.explode("own").alias("key")).join(probed, "key")
+    met = met.where(f"p <> q AND bit_count(sp ^ sq) <= {SIGNS_APART} AND NOT {_shares('lp', 'lq')}")
     met = materialize(spark, met.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct(), "met")
     left = hashed.select(F.col("c").alias("a"), F.col("vec").alias("va"), F.col("own").alias("oa"))
     right = hashed.select(F.col("c").alias("b"), F.col("vec").alias("vb"), F.col("own").alias("ob"))
