@@ -14,29 +14,40 @@ from array import array
 from collections.abc import Callable
 
 #: Chunks remembered in a worker; then the memory starts afresh. Longer ones are not remembered.
-MEMO, LONGEST = 600_000, 48
+MEMO, LONGEST = 1_300_000, 48
 #: White space on both sides of a space, which is looked for only where any stands before one: a search for two characters is fast.
 TOUCHING = re.compile(r"\s \s")
 BEFORE = tuple(chr(c) + " " for c in range(0x3001) if chr(c).isspace() and chr(c) != " ")
-SIGNS = frozenset(".,;:!?")
+#: Signs that make a piece of their own after a Latin word; an apostrophe may begin a contraction and is none.
+SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Runs of signs, and words after a line end, that are remembered beside the chunks.
+PARTS = 100_000
 
 
 class _Memo(dict):
     def __init__(self, encode: Callable[[str], list[int]], most: int):
         super().__init__()
         self.encode, self.most = encode, most
-        self.signs: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
-    def sign(self, c: str) -> bytes:
-        if c not in self.signs:
-            self.signs[c] = array("I", self.encode(c)).tobytes()
-        return self.signs[c]
+    def part(self, text: str) -> bytes:
+        """The ids of signs, or of a line end and what follows it."""
+        if text not in self.parts:
+            if len(self.parts) >= PARTS:
+                self.parts.clear()
+            self.parts[text] = array("I", self.encode(text)).tobytes()
+        return self.parts[text]
 
     def __missing__(self, chunk: str) -> bytes:
-        # A Latin word and the sign after it are pieces of their own, so both are reused.
-        core = chunk[:-1]
-        if chunk[-1:] in SIGNS and core.isalpha() and max(core) < "\u0250":
-            ids = self[core] + self.sign(chunk[-1])
+        # A single line end is a piece of its own, and so are a Latin word and the signs after it: all are reused.
+        line, end, rest = chunk.partition("\n")
+        core = chunk.rstrip(SIGNS)
+        if end and line and rest and not line[-1].isspace() and not rest[0].isspace():
+            return self[line] + self.part("\n" + rest)  # seldom seen again as a whole
+        if len(core) < len(chunk) and core.isalpha() and max(core) < "\u0250":
+            ids = self[core] + self.part(chunk[len(core) :])
+            if len(chunk) - len(core) > 1:
+                return ids
         else:
             ids = array("I", self.encode(" " + chunk)).tobytes()
         if len(chunk) <= LONGEST:

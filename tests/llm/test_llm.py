@@ -437,7 +437,7 @@ def test_encoders_agree_with_the_library_on_fuzz(library):
 
 def test_words_and_signs_are_reused_exactly(library):
     b, rng = bpe.Bpe(tokenizer_json()), np.random.default_rng(6)
-    words, ends = ["word", "Über", "naïve", "it", "don", "日本", "x1", "ſ", "ǅ"], ["", ".", ",", ";", "!", "?", ":", "..", "'s", ".)", "’s"]
+    words, ends = ["word", "Über", "naïve", "it", "don", "日本", "x1", "ſ", "ǅ"], ["", ".", ",", ";", "!", "?", ":", "..", "'s", ".)", "’s", "%%%", ",***", "\nThe", ".\nword,", "\n\nx", ".\n", "_", "--", "'", "\n\u00a0y", "\r\nz", "&'t", "\\"]
     for _ in range(300):
         x = " ".join(rng.choice(words) + rng.choice(ends) for _ in range(12))
         assert b.ids(x) == library.encode(x, add_special_tokens=False).ids
