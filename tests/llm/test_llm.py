@@ -692,6 +692,28 @@ def test_toxicity_walk_finds_terms_that_labels_lack(spark, monkeypatch):
     assert a > 0.99 and a > b + 0.02
 
 
+def test_toxicity_counts_every_text_near_seeds(spark):
+    words = [f"term{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(60)]
+    common = min((f"all{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(600)), key=lambda w: zlib.crc32(w.encode()))
+    texts = [f"{common} badword evilword {words[k]} {words[(k + 1) % 60]}" for k in range(60)]
+    assert {min(t.split(), key=lambda w: zlib.crc32(w.encode())) for t in texts} == {common}
+    got = {r.term: r.n for r in toxicity._near_seeds(spark, documents(spark, texts * 3 + ["no seed here", None]), ["badword"]).collect()}
+    assert got[common] == got["evilword"] == 60 and "badword" not in got and all(got[w] == 2 for w in words)
+
+
+def test_toxicity_nodes_in_blocks(spark, monkeypatch):
+    texts, y, labelled, bad = induction_corpus()
+    docs, labels = documents(spark, texts), spark.createDataFrame(labelled, "doc_id long, toxic int")
+    rows = docs.join(labels, "doc_id").select("text", (F.col("toxic") > 0).alias("y"))
+    blocks, count = [], toxicity._meetings
+    monkeypatch.setattr(toxicity, "_meetings", lambda *a: blocks.append(a[4]) or count(*a))
+    want = toxicity.induce(spark, docs.select("text"), rows)
+    assert len(blocks) == 1 and len(blocks[0]) > 4
+    monkeypatch.setattr(toxicity, "BLOCK", 2)
+    assert toxicity.induce(spark, docs.select("text"), rows) == pytest.approx(want, abs=1e-5)
+    assert len(blocks) > 3 and {t: k for b in blocks[1:] for t, k in b.items()} == blocks[0]
+
+
 def test_toxicity_walks_against_matrix(spark):
     e = [(0, 1, 2.0), (1, 0, 2.0), (1, 2, 1.0), (2, 1, 1.0), (2, 3, 3.0), (3, 2, 3.0)]
     got = toxicity.walks(spark, spark.createDataFrame(e, "i int, j int, w double"), spark.createDataFrame([(0, 1.0, 0.0), (3, 0.0, 1.0)], "id int, up double, down double"), 10)
