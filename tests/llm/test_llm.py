@@ -714,6 +714,18 @@ def test_toxicity_nodes_in_blocks(spark, monkeypatch):
     assert len(blocks) > 3 and {t: k for b in blocks[1:] for t, k in b.items()} == blocks[0]
 
 
+def test_toxicity_stage_learns_from_texts_that_share_a_word(spark, tmp_path):
+    import corpus_pipeline as c
+
+    texts, y, labelled, bad = induction_corpus()
+    least = min(zlib.crc32(w.encode()) for t in texts for w in t.split())
+    common = next(w for w in (f"all{chr(97 + k // 676)}{chr(97 + k // 26 % 26)}{chr(97 + k % 26)}" for k in range(17_576)) if zlib.crc32(w.encode()) < least)
+    spark.createDataFrame(labelled, "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    kept = {r.doc_id for r in c.toxicity_stage(spark, documents(spark, [f"{common} {t}" for t in texts]), str(tmp_path)).select("doc_id").collect()}
+    unknown = {k for k in range(2000) if y[k] and not {*texts[k].split()} & {*bad[:4]}}
+    assert len(unknown) > 10 and len(unknown & kept) <= 1 and len(kept & {k for k in range(2000) if not y[k]}) > 1740
+
+
 def test_toxicity_walks_against_matrix(spark):
     e = [(0, 1, 2.0), (1, 0, 2.0), (1, 2, 1.0), (2, 1, 1.0), (2, 3, 3.0), (3, 2, 3.0)]
     got = toxicity.walks(spark, spark.createDataFrame(e, "i int, j int, w double"), spark.createDataFrame([(0, 1.0, 0.0), (3, 0.0, 1.0)], "id int, up double, down double"), 10)
