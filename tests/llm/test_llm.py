@@ -2,6 +2,7 @@
 
 import hashlib
 import html
+import itertools
 import math
 import re
 import zlib
@@ -726,6 +727,31 @@ def test_toxicity_stage_learns_from_texts_that_share_a_word(spark, tmp_path):
     assert len(unknown) > 10 and len(unknown & kept) <= 1 and len(kept & {k for k in range(2000) if not y[k]}) > 1740
 
 
+def test_toxicity_texts_of_the_same_words_count_each(spark):
+    texts = [" ".join(p) for p in itertools.permutations(["badword", "evilword", "other", "words"])] + ["badword evilword other words badword"]
+    got = {r.term: r.n for r in toxicity._near_seeds(spark, documents(spark, texts * 2), ["badword"]).collect()}
+    assert got["evilword"] == got["evil~"] == got["other"] == 25 and "badword" not in got
+
+
+def test_toxicity_stage_learns_all_seeds(spark, tmp_path):
+    """Beside 20,000 surer seeds, 20 words that stand in toxic texts alone count, too."""
+    import corpus_pipeline as c
+
+    rng = np.random.default_rng(5)
+    words = ["".join(w) for w in itertools.islice(itertools.product("abcdefghijklmnopqrstuvwxyzéö", repeat=3), 20_020)]
+    words, lone, plain = words[:-20], words[-20:], [f"plain{chr(97 + k)}" for k in range(24)]
+    toxic = [" ".join(rng.permutation(words[k : k + 100])) for k in range(0, 20_000, 100) for _ in range(10)]
+    toxic += [f"{plain[k]} {w}" for w in lone for k in range(6)] + [f"{plain[k % 24]} {words[k]}" for k in range(200)]
+    other = [f"{plain[k % 24]} {plain[k * 7 % 23]}" for k in range(40_000)]
+    learnt = (k for k in itertools.count() if zlib.crc32(str(k).encode()) % 4 != 2)
+    ids = [next(learnt) for _ in range(len(toxic) + len(other))]
+    held = [k for k in range(100) if zlib.crc32(str(k).encode()) % 4 == 2][:20]
+    docs = documents(spark, toxic + other + [f"some {w} here" for w in lone], ids=ids + held)
+    spark.createDataFrame([(i, int(k < len(toxic))) for k, i in enumerate(ids)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    kept = {r.doc_id for r in c.toxicity_stage(spark, docs, str(tmp_path)).select("doc_id").collect()}
+    assert not kept & {*held, *ids[: len(toxic)]} and {*ids[len(toxic) :]} == kept
+
+
 def test_toxicity_walks_against_matrix(spark):
     e = [(0, 1, 2.0), (1, 0, 2.0), (1, 2, 1.0), (2, 1, 1.0), (2, 3, 3.0), (3, 2, 3.0)]
     got = toxicity.walks(spark, spark.createDataFrame(e, "i int, j int, w double"), spark.createDataFrame([(0, 1.0, 0.0), (3, 0.0, 1.0)], "id int, up double, down double"), 10)
