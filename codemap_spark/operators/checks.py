@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codemap_spark.functions.keyed import by_key, sides
 from codemap_spark.functions.paths import sampled
 from codemap_spark.operators.graph import _saved
 
@@ -47,13 +48,11 @@ def boundary(used: DataFrame, actual: DataFrame, declared: DataFrame) -> DataFra
     return used.where("consumer <> provider").join(inner, key, "left_semi")
 
 
-def orphans(declared: DataFrame, consumed: DataFrame) -> DataFrame:
-    """(subsystem, name): declared, but consumed by none, of providers of which anything is consumed."""
-    sides = declared.select("subsystem", "name", F.lit(1).alias("d"), F.lit(0).alias("c")).unionByName(consumed.select(F.col("provider").alias("subsystem"), "name", F.lit(0).alias("d"), F.lit(1).alias("c")))
-    per = sides.groupBy("subsystem", "name").agg(F.max("d").alias("d"), F.max("c").alias("c"))
-    # A subsystem's flag is spread over rows that its key has brought together.
-    tracked = per.groupBy("subsystem").agg(F.max("c").alias("t")).where("t = 1").select("subsystem")
-    return per.where("d = 1 AND c = 0").join(tracked, "subsystem", "left_semi").select("subsystem", "name")
+def orphans(declared: DataFrame, consumed: DataFrame, tasks: int | None = None) -> DataFrame:
+    """(subsystem, name): declared, but consumed by none, of providers of which anything is consumed; both may repeat rows. A null name is never consumed."""
+    per = sides(tasks, ["subsystem", "name"], declared, consumed.select(F.col("provider").alias("subsystem"), "name"))
+    tracked = per.where("side >= 2").select("subsystem").distinct()
+    return per.where("side = 1 OR (side = 3 AND name IS NULL)").join(tracked, "subsystem", "left_semi").select("subsystem", "name")
 
 
 def orphan_rollup(orphaned: DataFrame) -> DataFrame:

@@ -62,16 +62,10 @@ def query(cte: str = "", sql: str | None = None) -> Callable[[Query], Query]:
     return put
 
 
-def consumed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li, o = S.table(spark, sf_dir, "lineitem"), S.table(spark, sf_dir, "orders")
-    li = li.where("l_returnflag = 'R' OR l_shipdate >= TIMESTAMP '1998-01-01'")
-    return li.join(o, li.l_orderkey == o.o_orderkey).select(F.col("o_custkey").alias("consumer"), F.col("l_suppkey").alias("provider"), F.col("l_partkey").alias("name")).distinct()
-
-
 def found_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, a = S.surface(spark, sf_dir, "O"), S.surface(spark, sf_dir, "F")
     one = checks.issues(checks.drift_missing(d, a), "E_STRUCTURAL_DRIFT", "subsystem", F.concat(F.lit("missing "), F.col("name").cast("string")))
-    return one.unionByName(checks.issues(checks.orphans(d, consumed(spark, sf_dir)), "E_ORPHAN_EXPORT", "subsystem", F.concat(F.lit("orphan "), F.col("name").cast("string"))))
+    return one.unionByName(checks.issues(checks.orphans(d, S.consumed(spark, sf_dir)), "E_ORPHAN_EXPORT", "subsystem", F.concat(F.lit("orphan "), F.col("name").cast("string"))))
 
 
 def policy_rules(spark: SparkSession) -> DataFrame:
@@ -265,22 +259,22 @@ def drift_undeclared_rollup(spark, sf_dir):
 
 @query("consumed declared", "SELECT consumer, provider, name FROM consumed c WHERE provider IN (SELECT subsystem FROM declared) AND NOT EXISTS (SELECT 1 FROM declared d WHERE d.subsystem = c.provider AND d.name = c.name)")
 def contract_missing(spark, sf_dir):
-    return checks.contract_missing(consumed(spark, sf_dir), S.surface(spark, sf_dir, "O"))
+    return checks.contract_missing(S.consumed(spark, sf_dir), S.surface(spark, sf_dir, "O"))
 
 
 @query("consumed", "SELECT DISTINCT consumer, provider FROM consumed WHERE provider NOT IN (SELECT l_suppkey FROM lineitem WHERE l_linestatus = 'O' AND l_suppkey % 7 <> 0)")
 def unresolved_reference(spark, sf_dir):
-    return checks.unresolved(consumed(spark, sf_dir), S.surface(spark, sf_dir, "O").where("subsystem % 7 <> 0"))
+    return checks.unresolved(S.consumed(spark, sf_dir), S.surface(spark, sf_dir, "O").where("subsystem % 7 <> 0"))
 
 
 @query("consumed actual declared", "SELECT consumer, provider, name FROM consumed c WHERE consumer <> provider AND EXISTS (SELECT 1 FROM actual a WHERE a.subsystem = c.provider AND a.name = c.name) AND NOT EXISTS (SELECT 1 FROM declared d WHERE d.subsystem = c.provider AND d.name = c.name)")
 def boundary_violations(spark, sf_dir):
-    return checks.boundary(consumed(spark, sf_dir), S.surface(spark, sf_dir, "F"), S.surface(spark, sf_dir, "O")).select("consumer", "provider", "name")
+    return checks.boundary(S.consumed(spark, sf_dir), S.surface(spark, sf_dir, "F"), S.surface(spark, sf_dir, "O")).select("consumer", "provider", "name")
 
 
 @query("orphan", "SELECT subsystem, name FROM orphan")
 def orphan_exports(spark, sf_dir):
-    return checks.orphans(S.surface(spark, sf_dir, "O"), consumed(spark, sf_dir))
+    return checks.orphans(S.surface_lines(spark, sf_dir, "O"), S.consumed_lines(spark, sf_dir), S.tasks(spark, sf_dir))
 
 
 @query("edge2", "SELECT u AS consumer, string_agg(v::VARCHAR, ',' ORDER BY v) AS providers FROM edge2 WHERE v % 5 = 2 GROUP BY 1")
@@ -344,7 +338,7 @@ def overview_counts(spark, sf_dir):
 
 @query("consumed", "SELECT name, count(DISTINCT consumer) AS direct, min(provider) AS provider FROM consumed GROUP BY 1")
 def impact_interface(spark, sf_dir):
-    return consumed(spark, sf_dir).groupBy("name").agg(F.countDistinct("consumer").alias("direct"), F.min("provider").alias("provider"))
+    return S.consumed(spark, sf_dir).groupBy("name").agg(F.countDistinct("consumer").alias("direct"), F.min("provider").alias("provider"))
 
 
 # --- schema fold ---------------------------------------------------------------------------------------
@@ -492,7 +486,7 @@ UNION ALL SELECT subsystem, 'needs_review', count(*) FROM (SELECT subsystem, nam
 UNION ALL SELECT subsystem, 'add', count(*) FROM (SELECT subsystem, name FROM actual EXCEPT SELECT subsystem, name FROM declared) GROUP BY 1""")
 def calibrate_proposals(spark, sf_dir):
     d, a = S.surface(spark, sf_dir, "O"), S.surface(spark, sf_dir, "F")
-    used = consumed(spark, sf_dir).select(F.col("provider").alias("subsystem"), "name").distinct().withColumn("used", F.lit(True))
+    used = S.consumed(spark, sf_dir).select(F.col("provider").alias("subsystem"), "name").distinct().withColumn("used", F.lit(True))
     gone = checks.drift_missing(d, a).join(used, ["subsystem", "name"], "left").select("subsystem", F.when(F.col("used"), "needs_review").otherwise("remove").alias("change"))
     return gone.unionByName(checks.drift_missing(a, d).select("subsystem", F.lit("add").alias("change"))).groupBy("subsystem", "change").agg(F.count("*").alias("n"))
 
@@ -517,7 +511,7 @@ def expose_changes(spark: SparkSession, sf_dir: str, accept: bool = False) -> Da
     """Every seventh interface is private, every eleventh symbol generated; every fifth subsystem has files without an extractor."""
     d = S.surface(spark, sf_dir, "O").withColumn("internal", F.col("name") % 7 == 0)
     a = S.surface(spark, sf_dir, "F").select("*", F.lit("class").alias("kind"), (F.col("name") % 11 == 0).alias("generated"))
-    return calibrate.exposes(d, a, consumed(spark, sf_dir), d.select("subsystem").where("subsystem % 5 = 0"), accept)
+    return calibrate.exposes(d, a, S.consumed(spark, sf_dir), d.select("subsystem").where("subsystem % 5 = 0"), accept)
 
 
 CTE["review"] = "review AS (SELECT d.subsystem, d.name, CASE WHEN d.subsystem % 5 = 0 THEN 'unsupported_language' WHEN (d.subsystem, d.name) IN (SELECT provider, name FROM consumed) THEN 'consumed_contract' END AS reason FROM declared d WHERE d.name % 7 <> 0 AND (d.subsystem, d.name) NOT IN (SELECT subsystem, name FROM actual))"
@@ -705,8 +699,8 @@ def where_near_subsystems(spark, sf_dir):
 @query("edge reach consumed", """, c AS (SELECT DISTINCT c_nationkey::BIGINT AS id FROM consumed JOIN customer ON consumer = c_custkey WHERE name = (SELECT min(name) FROM consumed))
 SELECT id AS consumer, true AS direct FROM c UNION ALL SELECT DISTINCT src, false FROM reach WHERE dst IN (SELECT id FROM c) AND src NOT IN (SELECT id FROM c)""")
 def impact_closure(spark, sf_dir):
-    used = consumed(spark, sf_dir).join(S.table(spark, sf_dir, "customer"), F.col("consumer") == F.col("c_custkey")).select(F.col("c_nationkey").cast("long").alias("consumer"), "name")
-    least = consumed(spark, sf_dir).agg(F.min("name")).first()[0]
+    used = S.consumed(spark, sf_dir).join(S.table(spark, sf_dir, "customer"), F.col("consumer") == F.col("c_custkey")).select(F.col("c_nationkey").cast("long").alias("consumer"), "name")
+    least = S.consumed(spark, sf_dir).agg(F.min("name")).first()[0]
     return locate.interface_impact(spark, used, S.edges(spark, sf_dir), least)
 
 

@@ -5,11 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from codemap_spark.functions.keyed import by_key
+
+#: Bytes of a table's files that one task of a step by key is given; some 300,000 lines of the test tables.
+SHARE = 4 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tasks(spark: SparkSession, sf_dir: str, name: str = "lineitem") -> int | None:
+    """Tasks for a step over all rows of a table by key, in proportion to its files; None where they are small and Spark's own number does."""
+    size = int(str(table(spark, sf_dir, name)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(spark.sparkContext.defaultParallelism, -(-size // SHARE)) if size > SHARE else None
+
+
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Subsystems: id, name, namespace, role, criticality."""
     n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
@@ -29,10 +40,29 @@ def edges(spark: SparkSession, sf_dir: str, k: int = 1) -> DataFrame:
     return pairs.where((F.col("u") != F.col("v")) & (F.pmod(F.col("u") * 7 + F.col("v") * 13, F.lit(25)) < k)).select("u", "v").distinct()
 
 
-def surface(spark: SparkSession, sf_dir: str, status: str) -> DataFrame:
-    """(subsystem, name): 'O' lines declare an interface, 'F' lines are found in the code."""
+def surface_lines(spark: SparkSession, sf_dir: str, status: str) -> DataFrame:
+    """(subsystem, name), a row a line: 'O' lines declare an interface, 'F' lines are found in the code."""
     li = table(spark, sf_dir, "lineitem").where(F.col("l_linestatus") == status)
-    return li.select(F.col("l_suppkey").alias("subsystem"), F.col("l_partkey").alias("name")).distinct()
+    return li.select(F.col("l_suppkey").alias("subsystem"), F.col("l_partkey").alias("name"))
+
+
+def surface(spark: SparkSession, sf_dir: str, status: str) -> DataFrame:
+    """surface_lines(), each interface once."""
+    return by_key(surface_lines(spark, sf_dir, status), tasks(spark, sf_dir), "subsystem", "name").distinct()
+
+
+def consumed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(consumer, provider, name), a row a line: returned and late lines use an interface of their supplier."""
+    n = tasks(spark, sf_dir)
+    li = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' OR l_shipdate >= TIMESTAMP '1998-01-01'").select("l_orderkey", F.col("l_suppkey").alias("provider"), F.col("l_partkey").alias("name"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("consumer"))
+    j = by_key(li, n, "l_orderkey").join(by_key(o, n, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return j.select("consumer", "provider", "name")
+
+
+def consumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """consumed_lines(), each use once."""
+    return by_key(consumed_lines(spark, sf_dir), tasks(spark, sf_dir), "provider", "name").distinct()
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:

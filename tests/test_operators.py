@@ -231,3 +231,10 @@ def test_small_and_large_searches_agree(spark, monkeypatch):
     one = rows(graph.transitive_closure(spark, e)), rows(graph.propagate(spark, e, n, seeds)), rows(graph.reached_from(spark, e, seeds))
     monkeypatch.setattr(graph, "SMALL", 1)
     assert one == (rows(graph.transitive_closure(spark, e)), rows(graph.propagate(spark, e, n, seeds)), rows(graph.reached_from(spark, e, seeds)))
+
+
+def test_orphans_of_repeated_rows_and_nulls(spark):
+    d = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (1, None), (2, "a"), (None, "a")], "subsystem int, name string")
+    c = spark.createDataFrame([(7, 1, "a"), (8, 1, "a"), (7, 1, None), (7, None, "b")], "consumer int, provider int, name string")
+    for tasks in (None, 3):
+        assert sorted(checks.orphans(d, c, tasks).collect(), key=str) == [(1, "b"), (1, None)]

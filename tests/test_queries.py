@@ -1,3 +1,5 @@
+import re
+
 import pytest
 
 from codemap_spark.plans.queries import ORACLES, QUERIES
@@ -46,3 +48,19 @@ def test_entry(spark):
 
     assert e.entry(spark).columns == ["target", "radius", "consumers"]
     assert set(QUERIES) <= set(e.queries()) and set(ORACLES) <= set(e.oracle_sql())
+
+
+def dealt(df):
+    """(keys, number) of the exchanges by hash in a plan, number 0 where Spark may merge the parts."""
+    plan = df._jdf.queryExecution().sparkPlan().toString() + df._jdf.queryExecution().executedPlan().toString()
+    found = re.findall(r"Exchange hashpartitioning\((.*?), (\d+)\), (\w+)", plan)
+    return {(re.sub(r"#\w+", "", keys), int(n) if how == "REPARTITION_BY_NUM" else 0) for keys, n, how in found}
+
+
+@pytest.mark.parametrize("name", ["orphan_exports", "orphan_rollup"])
+def test_steps_by_interface_take_tasks_in_proportion(spark, monkeypatch, name):
+    """Merged parts would hold a fixed share of the table in one task's memory, however large the table."""
+    monkeypatch.setattr(S, "SHARE", 1 << 12, raising=False)
+    many = {n for keys, n in dealt(QUERIES[name](spark, SF)) if keys in ("subsystem, name", "provider, name", "consumer, provider, name", "key")}
+    assert many and min(many) > 20
+    assert differences(spark, QUERIES[name], ORACLES[name]) == ([], [])
