@@ -57,7 +57,13 @@ def dealt(df):
     return {(re.sub(r"#\w+", "", keys), int(n) if how == "REPARTITION_BY_NUM" else 0) for keys, n, how in found}
 
 
-@pytest.mark.parametrize("name", ["orphan_exports", "orphan_rollup"])
+INTERFACES = [
+    "orphan_exports",
+    "orphan_rollup",
+]
+
+
+@pytest.mark.parametrize("name", INTERFACES)
 def test_steps_by_interface_take_tasks_in_proportion(spark, monkeypatch, name):
     """Merged parts would hold a fixed share of the table in one task's memory, however large the table."""
     monkeypatch.setattr(S, "SHARE", 1 << 12, raising=False)
