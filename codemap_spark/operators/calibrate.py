@@ -7,15 +7,17 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codemap_spark.functions.keyed import by_key, sides
+
 #: Changes that rewrite a manifest, and those that only show.
 APPLIED = ("add_expose", "remove_expose", "add_consume", "add_consume_interface", "coarsen_consume", "remove_consume_interface", "remove_consume_edge", "reattribute_consume")
 SHOWN = ("needs_review", "unknown_consume")
 _KEYED = ("add_expose", "remove_expose", "add_consume", "add_consume_interface", "remove_consume_interface", "remove_consume_edge")
 
 
-def _rows(df: DataFrame, change: str, target: str | Column, detail: str | Column | None = None) -> DataFrame:
+def _rows(df: DataFrame, change: str | Column, target: str | Column, detail: str | Column | None = None) -> DataFrame:
     col = lambda c: F.lit(None) if c is None else F.col(c) if isinstance(c, str) else c
-    return df.select(F.col("subsystem"), F.lit(change).alias("change"), col(target).cast("string").alias("target"), col(detail).cast("string").alias("detail"))
+    return df.select(F.col("subsystem"), (F.lit(change) if isinstance(change, str) else change).alias("change"), col(target).cast("string").alias("target"), col(detail).cast("string").alias("detail"))
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -28,24 +30,22 @@ def first_declarations(symbols: DataFrame) -> DataFrame:
     return first.select("subsystem", "name", "s.kind", "s.path")
 
 
-def exposes(declared: DataFrame, actual: DataFrame, consumed: DataFrame, unsupported: DataFrame, accept: bool = False) -> DataFrame:
+def exposes(declared: DataFrame, actual: DataFrame, consumed: DataFrame, unsupported: DataFrame, accept: bool = False, tasks: int | None = None) -> DataFrame:
     """(subsystem, change, target, detail) of a surface.
 
     declared has subsystem, name, internal; actual subsystem, name, kind,
     generated; consumed provider, name; unsupported the subsystems with files
     of languages without an extractor, whose interfaces are never proven gone.
-    accept takes out what only other manifests hold.
+    accept takes out what only other manifests hold. All may repeat rows.
     """
     key = ["subsystem", "name"]
-    add = actual.where("NOT generated").join(declared.select(*key).distinct(), key, "left_anti")
-    used = consumed.select(F.col("provider").alias("subsystem"), "name").distinct().withColumn("used", F.lit(True))
+    add = by_key(actual.where("NOT generated").select(*key, "kind"), tasks, *key).join(by_key(declared.select(*key), tasks, *key), key, "left_anti").distinct()
+    per = sides(tasks, key, declared.where("NOT internal"), actual, consumed.select(F.col("provider").alias("subsystem"), "name"))
     dark = unsupported.select("subsystem").distinct().withColumn("dark", F.lit(True))
-    gone = declared.where("NOT internal").select(*key).distinct().join(actual.select(*key).distinct(), key, "left_anti").join(used, key, "left").join(dark, "subsystem", "left")
-    reason = F.when(F.col("dark"), "unsupported_language").when(F.col("used"), "consumed_contract")
-    gone = gone.select(*key, reason.alias("reason"))
-    held = (F.col("reason") == "unsupported_language") if accept else F.col("reason").isNotNull()
-    held = F.coalesce(held, F.lit(False))
-    return _union([_rows(add, "add_expose", "name", "kind"), _rows(gone.where(~held), "remove_expose", "name"), _rows(gone.where(held), "needs_review", "name", "reason")])
+    gone = per.where("side IN (1, 5)").join(dark, "subsystem", "left")
+    reason = F.when(F.col("dark"), "unsupported_language").when((F.col("side") == 5) & F.lit(not accept), "consumed_contract")
+    change = F.when(reason.isNotNull(), "needs_review").otherwise("remove_expose")
+    return _union([_rows(add, "add_expose", "name", "kind"), _rows(gone, change, "name", reason)])
 
 
 def consumes(declared: DataFrame, used: DataFrame, exposed: DataFrame, known: DataFrame, track: bool = False, coarsen: bool = False) -> DataFrame:
@@ -95,15 +95,16 @@ def summary(proposals: DataFrame) -> DataFrame:
     return proposals.groupBy("change").agg(F.count("*").alias("n"), F.countDistinct("subsystem").alias("subsystems"))
 
 
-def drift_keys(proposals: DataFrame) -> DataFrame:
+def drift_keys(proposals: DataFrame, tasks: int | None = None) -> DataFrame:
     """(key): one tab-joined key a change that the gate knows; what needs review is never one."""
     target = F.when(F.col("change") == "add_consume", F.concat_ws(":", "target", F.coalesce("detail", F.lit("")))).when(F.col("change").endswith("_interface"), F.concat_ws(":", "target", "detail")).otherwise(F.col("target"))
-    return proposals.where(F.col("change").isin(*_KEYED)).select(F.concat_ws("\t", F.col("subsystem").cast("string"), "change", target).alias("key")).distinct()
+    keys = proposals.where(F.col("change").isin(*_KEYED)).select(F.concat_ws("\t", F.col("subsystem").cast("string"), "change", target).alias("key"))
+    return by_key(keys, tasks, "key").distinct()
 
 
-def drift_check(now: DataFrame, baseline: DataFrame) -> DataFrame:
+def drift_check(now: DataFrame, baseline: DataFrame, tasks: int | None = None) -> DataFrame:
     """(key, status): new since the baseline, or resolved."""
-    return now.join(baseline, "key", "left_anti").select("key", F.lit("new").alias("status")).unionByName(baseline.join(now, "key", "left_anti").select("key", F.lit("resolved").alias("status")))
+    return sides(tasks, ["key"], now, baseline).where("side < 3").select("key", F.when(F.col("side") == 1, "new").otherwise("resolved").alias("status"))
 
 
 def key_parts(keys: DataFrame) -> DataFrame:

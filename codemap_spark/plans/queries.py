@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codemap_spark.functions import paths as P
+from codemap_spark.functions.keyed import sides
 from codemap_spark.operators import calibrate, checks, coverage, discover, fold, graph, imports, incremental, locate, ownership, rawsql
 from codemap_spark.sources import extract
 from codemap_spark.sources import tables as S
@@ -509,9 +510,9 @@ def minimal_paths(spark, sf_dir):
 
 def expose_changes(spark: SparkSession, sf_dir: str, accept: bool = False) -> DataFrame:
     """Every seventh interface is private, every eleventh symbol generated; every fifth subsystem has files without an extractor."""
-    d = S.surface(spark, sf_dir, "O").withColumn("internal", F.col("name") % 7 == 0)
-    a = S.surface(spark, sf_dir, "F").select("*", F.lit("class").alias("kind"), (F.col("name") % 11 == 0).alias("generated"))
-    return calibrate.exposes(d, a, S.consumed(spark, sf_dir), d.select("subsystem").where("subsystem % 5 = 0"), accept)
+    d = S.surface_lines(spark, sf_dir, "O").withColumn("internal", F.col("name") % 7 == 0)
+    a = S.surface_lines(spark, sf_dir, "F").select("*", F.lit("class").alias("kind"), (F.col("name") % 11 == 0).alias("generated"))
+    return calibrate.exposes(d, a, S.consumed_lines(spark, sf_dir), d.select("subsystem").where("subsystem % 5 = 0"), accept, S.tasks(spark, sf_dir))
 
 
 CTE["review"] = "review AS (SELECT d.subsystem, d.name, CASE WHEN d.subsystem % 5 = 0 THEN 'unsupported_language' WHEN (d.subsystem, d.name) IN (SELECT provider, name FROM consumed) THEN 'consumed_contract' END AS reason FROM declared d WHERE d.name % 7 <> 0 AND (d.subsystem, d.name) NOT IN (SELECT subsystem, name FROM actual))"
@@ -533,7 +534,7 @@ def calibrate_accept(spark, sf_dir):
 
 @query("expose_change", "SELECT subsystem || chr(9) || change || chr(9) || target AS key FROM expose_change WHERE change <> 'needs_review'")
 def calibrate_drift_keys(spark, sf_dir):
-    return calibrate.drift_keys(expose_changes(spark, sf_dir))
+    return calibrate.drift_keys(expose_changes(spark, sf_dir), S.tasks(spark, sf_dir))
 
 
 @query("expose_change", "SELECT change, count(*) AS n, count(DISTINCT subsystem) AS subsystems FROM expose_change GROUP BY 1")
@@ -549,10 +550,10 @@ def calibrate_changed(spark, sf_dir):
 @query("expose_change", """, k AS (SELECT subsystem || chr(9) || change || chr(9) || target AS key, target::BIGINT AS n FROM expose_change WHERE change <> 'needs_review'), b AS (SELECT key FROM k WHERE n % 3 <> 0 UNION ALL SELECT '0' || chr(9) || 'add_expose' || chr(9) || 'x' || n_nationkey FROM nation)
 SELECT key, 'new' AS status FROM (SELECT key FROM k EXCEPT SELECT key FROM b) UNION ALL SELECT key, 'resolved' FROM (SELECT key FROM b EXCEPT SELECT key FROM k)""")
 def calibrate_drift_check(spark, sf_dir):
-    k = calibrate.drift_keys(expose_changes(spark, sf_dir))
+    k = calibrate.drift_keys(expose_changes(spark, sf_dir), S.tasks(spark, sf_dir))
     old = S.table(spark, sf_dir, "nation").select(F.concat(F.lit("0\tadd_expose\tx"), F.col("n_nationkey").cast("string")).alias("key"))
     base = k.where(F.split("key", "\t")[2].cast("long") % 3 != 0).unionByName(old)
-    return calibrate.drift_check(k, base)
+    return calibrate.drift_check(k, base, S.tasks(spark, sf_dir))
 
 
 def consume_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:

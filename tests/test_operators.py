@@ -1,5 +1,5 @@
 from codemap_spark.functions import paths as P
-from codemap_spark.operators import checks, fold, graph, imports, incremental, ownership
+from codemap_spark.operators import calibrate, checks, fold, graph, imports, incremental, ownership
 from codemap_spark.sources import extract
 from pyspark.sql import functions as F
 
@@ -238,3 +238,17 @@ def test_orphans_of_repeated_rows_and_nulls(spark):
     c = spark.createDataFrame([(7, 1, "a"), (8, 1, "a"), (7, 1, None), (7, None, "b")], "consumer int, provider int, name string")
     for tasks in (None, 3):
         assert sorted(checks.orphans(d, c, tasks).collect(), key=str) == [(1, "b"), (1, None)]
+
+
+def test_proposals_of_repeated_rows(spark):
+    d = spark.createDataFrame([(1, n, n == "p") for n in "abcp" * 2] + [(5, "z", False)], "subsystem int, name string, internal boolean")
+    a = spark.createDataFrame([(1, "a", "class", False), (1, "n", "class", False), (1, "n", "class", False), (1, "g", "class", True)], "subsystem int, name string, kind string, generated boolean")
+    c = spark.createDataFrame([(9, 1, "b"), (8, 1, "b"), (9, 5, "z")], "consumer int, provider int, name string")
+    dark = spark.createDataFrame([(5,), (5,)], "subsystem int")
+    same = [(1, "add_expose", "n", "class"), (1, "remove_expose", "c", None), (5, "needs_review", "z", "unsupported_language")]
+    for tasks in (None, 3):
+        assert sorted(calibrate.exposes(d, a, c, dark, tasks=tasks).collect(), key=str) == sorted([*same, (1, "needs_review", "b", "consumed_contract")], key=str)
+        assert sorted(calibrate.exposes(d, a, c, dark, True, tasks).collect(), key=str) == sorted([*same, (1, "remove_expose", "b", None)], key=str)
+        keys = calibrate.drift_keys(calibrate.exposes(d, a, c, dark, tasks=tasks), tasks)
+        assert rows(keys) == [("1\tadd_expose\tn",), ("1\tremove_expose\tc",)]
+        assert rows(calibrate.drift_check(keys, spark.createDataFrame([("1\tadd_expose\tn",), ("x",)], "key string"), tasks)) == [("1\tremove_expose\tc", "new"), ("x", "resolved")]

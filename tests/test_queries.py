@@ -60,6 +60,7 @@ def dealt(df):
 INTERFACES = [
     "orphan_exports",
     "orphan_rollup",
+    "calibrate_drift_check",
 ]
 
 
