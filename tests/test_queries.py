@@ -61,6 +61,7 @@ INTERFACES = [
     "orphan_exports",
     "orphan_rollup",
     "calibrate_drift_check",
+    "calibrate_drift_keys",
 ]
 
 
