@@ -39,13 +39,12 @@ def unresolved(consumed: DataFrame, declared: DataFrame) -> DataFrame:
     return consumed.join(declared.select(F.col("subsystem").alias("provider")).distinct(), "provider", "left_anti").select("consumer", "provider").distinct()
 
 
-def boundary(used: DataFrame, actual: DataFrame, declared: DataFrame) -> DataFrame:
-    """Each use of a provider's symbol that it does not declare; uses of the own subsystem don't count."""
+def boundary(used: DataFrame, actual: DataFrame, declared: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Each use of a provider's symbol that it does not declare; uses of the own subsystem don't count. actual and declared may repeat rows."""
     key = ["provider", "name"]
     # One aggregate tells what is a symbol and not declared, in place of a semi and an anti join on one key.
-    sides = actual.select("subsystem", "name", F.lit(1).alias("s"), F.lit(0).alias("d")).unionByName(declared.select("subsystem", "name", F.lit(0).alias("s"), F.lit(1).alias("d")))
-    inner = sides.groupBy(F.col("subsystem").alias("provider"), "name").agg(F.max("s").alias("s"), F.max("d").alias("d")).where("s = 1 AND d = 0").select(*key)
-    return used.where("consumer <> provider").join(inner, key, "left_semi")
+    inner = sides(tasks, ["subsystem", "name"], actual, declared).where("side = 1").select(F.col("subsystem").alias("provider"), "name")
+    return by_key(used.where("consumer <> provider"), tasks, *key).join(inner, key, "left_semi")
 
 
 def orphans(declared: DataFrame, consumed: DataFrame, tasks: int | None = None) -> DataFrame:

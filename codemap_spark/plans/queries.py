@@ -270,7 +270,8 @@ def unresolved_reference(spark, sf_dir):
 
 @query("consumed actual declared", "SELECT consumer, provider, name FROM consumed c WHERE consumer <> provider AND EXISTS (SELECT 1 FROM actual a WHERE a.subsystem = c.provider AND a.name = c.name) AND NOT EXISTS (SELECT 1 FROM declared d WHERE d.subsystem = c.provider AND d.name = c.name)")
 def boundary_violations(spark, sf_dir):
-    return checks.boundary(S.consumed(spark, sf_dir), S.surface(spark, sf_dir, "F"), S.surface(spark, sf_dir, "O")).select("consumer", "provider", "name")
+    hit = checks.boundary(S.consumed_lines(spark, sf_dir), S.surface_lines(spark, sf_dir, "F"), S.surface_lines(spark, sf_dir, "O"), S.tasks(spark, sf_dir))
+    return hit.select("consumer", "provider", "name").distinct()
 
 
 @query("orphan", "SELECT subsystem, name FROM orphan")

@@ -62,6 +62,7 @@ INTERFACES = [
     "orphan_rollup",
     "calibrate_drift_check",
     "calibrate_drift_keys",
+    "boundary_violations",
 ]
 
 
