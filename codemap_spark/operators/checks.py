@@ -17,9 +17,9 @@ SEVERITY = {
 }
 
 
-def drift_missing(declared: DataFrame, actual: DataFrame) -> DataFrame:
-    """(subsystem, name) declared but not in the code."""
-    return declared.join(actual, ["subsystem", "name"], "left_anti").select("subsystem", "name")
+def drift_missing(declared: DataFrame, actual: DataFrame, tasks: int | None = None) -> DataFrame:
+    """(subsystem, name) declared but not in the code, each once; both may repeat rows."""
+    return sides(tasks, ["subsystem", "name"], declared, actual).where("side = 1").select("subsystem", "name")
 
 
 def drift_undeclared(declared: DataFrame, actual: DataFrame, names: DataFrame | None = None) -> DataFrame:

@@ -64,9 +64,8 @@ def query(cte: str = "", sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def found_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d, a = S.surface(spark, sf_dir, "O"), S.surface(spark, sf_dir, "F")
-    one = checks.issues(checks.drift_missing(d, a), "E_STRUCTURAL_DRIFT", "subsystem", F.concat(F.lit("missing "), F.col("name").cast("string")))
-    return one.unionByName(checks.issues(checks.orphans(d, S.consumed(spark, sf_dir)), "E_ORPHAN_EXPORT", "subsystem", F.concat(F.lit("orphan "), F.col("name").cast("string"))))
+    one = checks.issues(drift_missing(spark, sf_dir), "E_STRUCTURAL_DRIFT", "subsystem", F.concat(F.lit("missing "), F.col("name").cast("string")))
+    return one.unionByName(checks.issues(orphan_exports(spark, sf_dir), "E_ORPHAN_EXPORT", "subsystem", F.concat(F.lit("orphan "), F.col("name").cast("string"))))
 
 
 def policy_rules(spark: SparkSession) -> DataFrame:
@@ -249,7 +248,7 @@ def unresolved_local_imports(spark, sf_dir):
 
 @query("missing", "SELECT subsystem, name FROM missing")
 def drift_missing(spark, sf_dir):
-    return checks.drift_missing(S.surface(spark, sf_dir, "O"), S.surface(spark, sf_dir, "F"))
+    return checks.drift_missing(S.surface_lines(spark, sf_dir, "O"), S.surface_lines(spark, sf_dir, "F"), S.tasks(spark, sf_dir))
 
 
 @query("declared actual", """, e AS (SELECT a.subsystem, lpad(a.name::VARCHAR, 8, '0') AS name FROM actual a WHERE NOT EXISTS (SELECT 1 FROM declared d WHERE d.subsystem = a.subsystem AND d.name = a.name) AND subsystem IN (SELECT subsystem FROM declared)), l AS (SELECT subsystem, count(*) AS n, list(name ORDER BY name) AS s FROM e GROUP BY 1)

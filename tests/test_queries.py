@@ -63,6 +63,7 @@ INTERFACES = [
     "calibrate_drift_check",
     "calibrate_drift_keys",
     "boundary_violations",
+    "ci_tsv",
 ]
 
 
