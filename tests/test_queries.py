@@ -64,6 +64,7 @@ INTERFACES = [
     "calibrate_drift_keys",
     "boundary_violations",
     "ci_tsv",
+    "policy_apply",
 ]
 
 
