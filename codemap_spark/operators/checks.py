@@ -110,23 +110,26 @@ def apply_policy(found: DataFrame, rules: DataFrame) -> DataFrame:
     return rows.select("code", "subsystem", "message", severity.alias("severity"), F.coalesce(F.col("action") == "suppress", F.lit(False)).alias("suppressed"), *keep)
 
 
-def ranked(found: DataFrame) -> DataFrame:
+def ranked(found: DataFrame, tasks: int | None = None) -> DataFrame:
     """found with its place in the report: severity, code, subsystem, file where there is one, message.
 
-    Ranges of that order are counted and each is ranked on its own, from the
-    count of those before it; only the counts meet in one task. The ranges are
-    saved first, as a second sampling could cut them elsewhere.
+    Ranges of that order, of a number that tasks gives, are sorted and numbered
+    where they lie, and each goes on from the count of those before it; only the
+    counts meet in one task. The numbered ranges are saved first, as a second
+    sampling could cut them elsewhere.
     """
     from pyspark.sql import Window
 
     rank = F.when(F.col("severity") == "error", 0).when(F.col("severity") == "warning", 1).otherwise(2)
     file = [F.coalesce("file", F.lit(""))] if "file" in found.columns else []
     order = [rank, F.col("code"), F.coalesce("subsystem", F.lit("")), *file, F.col("message")]
-    parts = _saved(found.sparkSession, found.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    ranges = found.repartitionByRange(tasks, *order) if tasks else found.repartitionByRange(*order)
+    # The id is the range's number before 33 bits that count its rows from 0.
+    parts = _saved(found.sparkSession, ranges.sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id()))
+    parts = parts.withColumn("part", F.shiftright("place", 33)).withColumn("place", F.col("place").bitwiseAND((1 << 33) - 1))
     before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     starts = parts.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(before, F.lit(0)).alias("start"))
-    place = F.row_number().over(Window.partitionBy("part").orderBy(*order))
-    return parts.withColumn("place", place).join(F.broadcast(starts), "part").select(*found.columns, (F.col("start") + F.col("place")).cast("long").alias("rank"))
+    return parts.join(F.broadcast(starts), "part").select(*found.columns, (F.col("start") + F.col("place") + 1).cast("long").alias("rank"))
 
 
 def tsv(found: DataFrame) -> DataFrame:

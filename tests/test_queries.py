@@ -75,3 +75,9 @@ def test_steps_by_interface_take_tasks_in_proportion(spark, monkeypatch, name):
     many = {n for keys, n in dealt(QUERIES[name](spark, SF)) if keys in ("subsystem, name", "provider, name", "consumer, provider, name", "key")}
     assert many and min(many) > 20
     assert differences(spark, QUERIES[name], ORACLES[name]) == ([], [])
+
+
+def test_report_is_ranked_in_ranges_in_proportion(spark, monkeypatch):
+    monkeypatch.setattr(S, "SHARE", 1 << 12, raising=False)
+    assert len(QUERIES["report_order"](spark, SF).inputFiles()) > 20
+    assert differences(spark, QUERIES["report_order"], ORACLES["report_order"]) == ([], [])
