@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codemap_spark.functions.keyed import sides
+
 
 def compared(now: DataFrame, state: DataFrame) -> DataFrame:
     """(path, change): hit, changed, new or deleted, from content hashes."""
@@ -41,10 +43,10 @@ def pruned(state: DataFrame, live: DataFrame) -> DataFrame:
     return state.join(live.select("path").distinct(), "path", "left_semi")
 
 
-def baseline_diff(current: DataFrame, baseline: DataFrame) -> DataFrame:
-    """current's columns and change: new above the baseline, or resolved since."""
+def baseline_diff(current: DataFrame, baseline: DataFrame, tasks: int | None = None) -> DataFrame:
+    """current's columns and change: new above the baseline, or resolved since; each row once."""
     keys = current.columns
-    return current.join(baseline, keys, "left_anti").withColumn("change", F.lit("new")).unionByName(baseline.join(current, keys, "left_anti").withColumn("change", F.lit("resolved")))
+    return sides(tasks, keys, current, baseline).where("side < 3").select(*keys, F.when(F.col("side") == 1, "new").otherwise("resolved").alias("change"))
 
 
 def surface_stale(baseline: DataFrame, current: DataFrame) -> DataFrame:

@@ -445,8 +445,7 @@ def cache_hits(spark, sf_dir):
 
 @query("missing", ", b AS (SELECT l_suppkey AS subsystem, l_partkey AS name FROM lineitem WHERE l_linestatus = 'O' AND l_partkey % 3 = 0 GROUP BY 1, 2) SELECT subsystem, name, 'new' AS change FROM (SELECT * FROM missing EXCEPT SELECT * FROM b) UNION ALL SELECT subsystem, name, 'resolved' FROM (SELECT * FROM b EXCEPT SELECT * FROM missing)")
 def baseline_new_resolved(spark, sf_dir):
-    d = S.surface(spark, sf_dir, "O")
-    return incremental.baseline_diff(checks.drift_missing(d, S.surface(spark, sf_dir, "F")), d.where("name % 3 = 0"))
+    return incremental.baseline_diff(drift_missing(spark, sf_dir), S.surface_lines(spark, sf_dir, "O").where("name % 3 = 0"), S.tasks(spark, sf_dir))
 
 
 @query("now prev", "SELECT p.path, CASE WHEN n.path IS NULL THEN 'removed' ELSE 'changed' END AS why FROM prev p LEFT JOIN now n USING (path) WHERE n.path IS NULL OR n.content_hash <> p.content_hash")

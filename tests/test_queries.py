@@ -65,6 +65,7 @@ INTERFACES = [
     "boundary_violations",
     "ci_tsv",
     "policy_apply",
+    "baseline_new_resolved",
 ]
 
 
