@@ -66,6 +66,7 @@ INTERFACES = [
     "ci_tsv",
     "policy_apply",
     "baseline_new_resolved",
+    "calibrate_accept",
 ]
 
 
