@@ -31,7 +31,7 @@ def drift_undeclared(declared: DataFrame, actual: DataFrame, names: DataFrame |
 def contract_missing(consumed: DataFrame, declared: DataFrame) -> DataFrame:
     """(consumer, provider, name): interfaces consumed of a known provider that doesn't declare them."""
     known = declared.select(F.col("subsystem").alias("provider")).distinct()
-    return consumed.join(known, "provider", "left_semi").join(declared.select(F.col("subsystem").alias("provider"), "name"), ["provider", "name"], "left_anti").select("consumer", "provider", "name")
+    return consumed.join(declared.select(F.col("subsystem").alias("provider"), "name"), ["provider", "name"], "left_anti").join(known, "provider", "left_semi").select("consumer", "provider", "name")
 
 
 def unresolved(consumed: DataFrame, declared: DataFrame) -> DataFrame:

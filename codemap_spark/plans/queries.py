@@ -485,10 +485,10 @@ def gate_status(spark, sf_dir):
 UNION ALL SELECT subsystem, 'needs_review', count(*) FROM (SELECT subsystem, name FROM declared EXCEPT SELECT subsystem, name FROM actual) WHERE (subsystem, name) IN (SELECT provider, name FROM consumed) GROUP BY 1
 UNION ALL SELECT subsystem, 'add', count(*) FROM (SELECT subsystem, name FROM actual EXCEPT SELECT subsystem, name FROM declared) GROUP BY 1""")
 def calibrate_proposals(spark, sf_dir):
-    d, a = S.surface(spark, sf_dir, "O"), S.surface(spark, sf_dir, "F")
-    used = S.consumed(spark, sf_dir).select(F.col("provider").alias("subsystem"), "name").distinct().withColumn("used", F.lit(True))
-    gone = checks.drift_missing(d, a).join(used, ["subsystem", "name"], "left").select("subsystem", F.when(F.col("used"), "needs_review").otherwise("remove").alias("change"))
-    return gone.unionByName(checks.drift_missing(a, d).select("subsystem", F.lit("add").alias("change"))).groupBy("subsystem", "change").agg(F.count("*").alias("n"))
+    used = S.consumed_lines(spark, sf_dir).select(F.col("provider").alias("subsystem"), "name")
+    per = sides(S.tasks(spark, sf_dir), ["subsystem", "name"], S.surface_lines(spark, sf_dir, "O"), S.surface_lines(spark, sf_dir, "F"), used)
+    change = F.when(F.col("side") == 1, "remove").when(F.col("side") == 5, "needs_review").when(F.col("side").isin(2, 6), "add")
+    return per.select("subsystem", change.alias("change")).where("change IS NOT NULL").groupBy("subsystem", "change").agg(F.count("*").alias("n"))
 
 
 @query("file", "SELECT source || '/' || language AS folder, count(*) AS n, CASE WHEN count(*) >= 5 THEN 'high' WHEN count(*) >= 3 THEN 'medium' ELSE 'low' END AS confidence FROM file GROUP BY 1")
