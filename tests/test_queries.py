@@ -67,6 +67,7 @@ INTERFACES = [
     "policy_apply",
     "baseline_new_resolved",
     "calibrate_accept",
+    "gate_status",
 ]
 
 
