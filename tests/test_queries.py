@@ -68,6 +68,7 @@ INTERFACES = [
     "baseline_new_resolved",
     "calibrate_accept",
     "gate_status",
+    "issue_tally",
 ]
 
 
