@@ -69,6 +69,7 @@ INTERFACES = [
     "calibrate_accept",
     "gate_status",
     "issue_tally",
+    "calibrate_changed",
 ]
 
 
