@@ -70,6 +70,7 @@ INTERFACES = [
     "gate_status",
     "issue_tally",
     "calibrate_changed",
+    "calibrate_exposes",
 ]
 
 
