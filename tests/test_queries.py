@@ -71,6 +71,7 @@ INTERFACES = [
     "issue_tally",
     "calibrate_changed",
     "calibrate_exposes",
+    "calibrate_summary",
 ]
 
 
