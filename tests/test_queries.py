@@ -72,6 +72,12 @@ INTERFACES = [
     "calibrate_changed",
     "calibrate_exposes",
     "calibrate_summary",
+    "calibrate_proposals",
+    "drift_missing",
+    "drift_undeclared_rollup",
+    "contract_missing",
+    "describe_verify",
+    "impact_interface",
 ]
 
 
